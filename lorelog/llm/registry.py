@@ -6,6 +6,10 @@ from importlib import import_module
 
 #: Each is a module here with query(spark, sf_dir) and SQL (None where SQL can't express it).
 OPERATORS = (
+    "op3_simhash_neardup",
+    "op7_media_columns",
+    "op10_language_id",
+    "op6_line_dedup",
     "op1_license_scan",
     "op5_url_filter",
     "op8_exact_dedup",
