@@ -234,7 +234,7 @@ def near_components(
     return out.unionByName(prints.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, words: int = 8, tile: int = 8192) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, words: int = 16, tile: int = 8192) -> DataFrame:
     """The documents with all their columns, one (the smallest id) of each group of near copies.
 
     Near means a Jaccard similarity of at least ``similarity`` between sets of k-word shingles, as estimated by

@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: Each is a module here with query(spark, sf_dir) and SQL (None where SQL can't express it).
 OPERATORS = (
+    "op2_best_fit_packing",
+    "op4_lm_scoring",
+    "op9_sentencepiece",
     "op3_simhash_neardup",
     "op7_media_columns",
     "op10_language_id",
