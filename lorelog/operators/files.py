@@ -19,7 +19,7 @@ def touched(changes: DataFrame, path: str = "path", date: str = "date") -> DataF
 def most_modified(changes: DataFrame, head: DataFrame, limit: int = LIMITS["most_modified_files"]) -> DataFrame:
     here = head.select("path").distinct().withColumn("here", F.lit(True))
     top = touched(changes).orderBy(F.desc("commits"), "path").limit(limit)  # the bound comes before the join
-    return top.join(here, "path", "left").select("path", "commits", F.col("here").isNull().alias("removed"))
+    return top.join(here, "path", "left").select("path", "commits", F.col("here").isNull().alias("removed")).orderBy(F.desc("commits"), "path")
 
 
 def oldest_untouched(changes: DataFrame, head: DataFrame) -> DataFrame:
