@@ -175,3 +175,11 @@ def person_axes(profile: DataFrame, moments: DataFrame) -> DataFrame:
     )
     ranks = {"nocturnality": "nocturnality", "earliness": "earliness", "weekend": "weekend_presence", "streak": "streak_days", "volume": "volume_share"}
     return reduce(lambda d, kv: d.withColumn(f"rank_{kv[0]}", F.rank().over(Window.orderBy(F.desc(kv[1]))).cast("long")), ranks.items(), axes)
+
+
+def repository_axes(profile: DataFrame) -> DataFrame:
+    """The repository's axes of commit times, from its one-row profile."""
+    return profile.select(
+        F.col("night_ratio").alias("nocturnality"), F.col("weekend_ratio").alias("weekend_presence"), F.col("office_hours_ratio").alias("office_hours"),
+        "regularity", "span_ratio", "longest_silence_days", "repository_age_days",
+    )

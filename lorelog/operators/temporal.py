@@ -106,3 +106,15 @@ def profile(m: DataFrame, by: list[str] | None = None, places: int | None = None
         "repository_age_days": age,
         "span_ratio": ratio(F.col("active_days"), age + 1, places),
     })
+
+
+def month_delta(m: DataFrame) -> DataFrame:
+    """Commits per calendar month with commits, and the change from the one before."""
+    counts = m.groupBy(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month")).agg(F.count(F.lit(1)).alias("commits"))
+    return counts.withColumn("delta", F.col("commits") - F.lag("commits").over(Window.orderBy("year", "month")))  # one row a month
+
+
+def instants(m: DataFrame) -> DataFrame:
+    """Per identity: most commits in one local minute, and commits in the first hour of the day."""
+    minutes = m.groupBy("id", F.floor(F.col("at") / 60).alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hour") == 0).alias("first_hour"))
+    return minutes.groupBy("id").agg(F.max("n").alias("max_commits_in_one_minute"), F.sum("first_hour").alias("commits_in_hour_0"))

@@ -55,3 +55,9 @@ def selected_shares(cells: DataFrame, ids: list, window: int) -> DataFrame:
     own = cells.filter(F.col("editor").isin(ids))
     merged = own.withColumn("work_class", F.when((F.col("work_class") == "help_others") & F.col("owner").isin(ids), "rework").otherwise(F.col("work_class")))
     return shares(merged, window)
+
+
+def person_shares(cells: DataFrame) -> DataFrame:
+    """Each editor's shares as axes: creation, restoration, revision, collaboration."""
+    names = {"creation": "new_work", "restoration": "legacy_refactor", "revision": "rework", "collaboration": "help_others"}
+    return cells.groupBy(F.col("editor").alias("id")).agg(*(ratio(F.sum(F.when(F.col("work_class") == c, F.col("lines")).otherwise(0)), F.sum("lines")).alias(axis) for axis, c in names.items()))

@@ -713,3 +713,40 @@ def _(spark, sf_dir):
 @query("catalogue_limits", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in LIMITS.items()) + ") v(name, value)")
 def _(spark, sf_dir):
     return spark.createDataFrame(list(LIMITS.items()), "name string, value long")
+
+
+# --- further projections -----------------------------------------------------------------------------------
+
+EDITOR_AXES = f"""work AS (SELECT editor AS id, {WORK_CLASS} AS c FROM edits), axes AS (
+  SELECT id, {share("count(*) FILTER (c = 'new_work')", "count(*)")} AS creation, {share("count(*) FILTER (c = 'legacy_refactor')", "count(*)")} AS restoration,
+         {share("count(*) FILTER (c = 'rework')", "count(*)")} AS revision, {share("count(*) FILTER (c = 'help_others')", "count(*)")} AS collaboration FROM work GROUP BY 1)"""
+
+
+@query("worktype_people", f"WITH {b.EDITS}, {EDITOR_AXES} SELECT *, {interpret.archetype_sql(interpret.PERSON, {'creation', 'restoration', 'revision', 'collaboration'})} AS archetype FROM axes")
+def _(spark, sf_dir):
+    cells = worktype.breakdown(_edits(spark, sf_dir), WINDOW)
+    axes = worktype.person_shares(cells)
+    return axes.select("*", interpret.archetype(axes, interpret.PERSON).alias("archetype"))
+
+
+@query(
+    "repository_archetype",
+    f"""WITH prof AS (WITH {profile_sql(False)}), axes AS (SELECT night_ratio AS nocturnality, weekend_ratio AS weekend_presence, office_hours_ratio AS office_hours, regularity, span_ratio, longest_silence_days, repository_age_days FROM prof)
+SELECT {interpret.archetype_sql(interpret.REPOSITORY, {"nocturnality", "weekend_presence", "office_hours", "regularity", "span_ratio", "longest_silence_days", "repository_age_days"})} AS archetype FROM axes""",
+)
+def _(spark, sf_dir):
+    axes = interpret.repository_axes(temporal.profile(_moments(spark, sf_dir)))
+    return axes.select(interpret.archetype(axes, interpret.REPOSITORY).alias("archetype"))
+
+
+@query("temporal_month_delta", f"WITH {b.EVENT_COMMITS}, c AS (SELECT year, month, count(*) AS commits FROM m GROUP BY 1, 2) SELECT year, month, commits, commits - lag(commits) OVER (ORDER BY year, month) AS delta FROM c")
+def _(spark, sf_dir):
+    return temporal.month_delta(_moments(spark, sf_dir))
+
+
+@query(
+    "temporal_single_minute",
+    f"WITH {b.EVENT_COMMITS}, c AS (SELECT id, at_s // 60 AS minute, count(*) AS n FROM m GROUP BY 1, 2) SELECT id, max(n) AS max_commits_in_one_minute, (SELECT count(*) FROM m x WHERE x.id = c.id AND x.hour = 0) AS commits_in_hour_0 FROM c GROUP BY id",
+)
+def _(spark, sf_dir):
+    return temporal.instants(_moments(spark, sf_dir))

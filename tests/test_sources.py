@@ -143,3 +143,17 @@ def test_streams(spark, tmp_path):
     assert touches.agg(F.max("touches")).first()[0] <= commits.count()
     bouts = drain(cells.sessions(stream, "id", "local", late="400 days"), "bouts", "complete")
     assert bouts.agg(F.sum("commits")).first()[0] == commits.count()
+
+
+def test_command_line(spark, clone, tmp_path, capsys):
+    from lorelog.__main__ import main
+
+    out = tmp_path / "out.json"
+    assert main([clone, "--output", str(out), "--html", str(tmp_path / "o.html"), "--quiet"], spark) == 0
+    built = json.loads(out.read_text())
+    assert built["families"]["files"]["metrics"]["tracked_text_file_count"] == 3 and built["repository"]["default_branch"] == "main"
+    assert main([str(tmp_path / "none")], spark) == 2 and "path_not_found" in capsys.readouterr().err
+    assert main([clone, "--year", "2025", "--quiet"], spark) == 2 and "year_below_threshold" in capsys.readouterr().err
+    bad = tmp_path / "c.json"
+    bad.write_text("[")
+    assert main([clone, "--config", str(bad)], spark) == 2
