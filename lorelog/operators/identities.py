@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from lorelog.functions import people
 from lorelog.model import LIMITS, Config
 
+#: The map is sent to all tasks, so its size is checked.
+MAX_ADDRESSES = 500_000
+
 
 def address_map(spark, mailmap: list[tuple[str, str, str]], config: Config) -> DataFrame:
     """(address, canonical, name) after the mail map, then the configuration; small by nature: it is written by hand."""
+    if len(mailmap) > MAX_ADDRESSES:
+        raise ValueError(f"the mail map is bounded by {MAX_ADDRESSES} lines")
     folded: dict[str, tuple[str, str]] = {a.strip().lower(): (c.strip().lower(), n) for a, c, n in mailmap} if config.use_mailmap else {}
     for canonical, name, others in config.identities:
         for a in (canonical, *others):

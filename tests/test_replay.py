@@ -110,6 +110,13 @@ def test_components_equal_one_walk(history):
     assert rows(replay.replay(steps, graph, "c7")) == rows(replay.replay(steps, graph, "c7", one_group=True))
 
 
+def test_many_renames_are_linked_by_joins(history, monkeypatch):
+    steps, graph = history
+    want = sorted(map(str, replay.replay(steps, graph, "c7").drop("limited").collect()))
+    monkeypatch.setattr(replay, "DRIVER_LINKS", 0)
+    assert sorted(map(str, replay.replay(steps, graph, "c7").drop("limited").collect())) == want
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("x", "c")], "child string, parent string")
     assert {r.node for r in dag.ancestors(edges, "d").collect()} == {"a", "b", "c", "d"}
