@@ -248,7 +248,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lower(F.hex(F.reverse(F.col("fp").cast("binary")))).alias("fingerprint"), "component_id")
+    digits = F.lower(F.hex("fp"))
+    number = F.concat(*(F.substring(digits, at, 2) for at in range(15, 0, -2)))  # the most significant byte first
+    return found.select("doc_id", number.alias("fingerprint"), "component_id")
 
 
 #: SQL has no XXH64; the query is tested against brute force.
