@@ -33,13 +33,17 @@ ALPHA = 0.1
 VOCAB = 400
 DIM = 16
 NOISE = 24
-BATCH = 1024
+BATCH = 512
 RATE = 0.3
+SPREAD = 4
+#: Times that each run of tokens is gone over.
+PASSES = 3
 SEED = 11
 BLOCK_BYTES = 24 << 20
 #: Distinct words that a scan task holds before it hands its counts on.
 HELD_WORDS = 300_000
-#: Tokens scored at a time.
+#: Tokens trained on, and scored, at a time.
+TRAIN_RUN = 1 << 18
 RUN = 1 << 17
 
 
@@ -129,22 +133,43 @@ class Trainer:
         self.grown[name] += grad * grad
         self.parts[name] += RATE * grad / np.sqrt(self.grown[name])
 
-    def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
+    def fit(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> int:
+        """One pass over tokens; returns their number.
+
+        Equal (context, token) triples are one row with their number as weight.  A row that weighs over SPREAD times
+        the mean is dealt over several minibatches.
+        """
+        size = len(self.model.words) + 1
+        triples, times = np.unique((c1.astype(np.int64) * size + c2) * size + w, return_counts=True)
+        copies = np.ceil(times / (SPREAD * times.mean())).astype(np.int64)
+        rows = self.rng.permutation(np.repeat(np.arange(len(triples)), copies))
+        triples, weights = triples[rows], (times / copies)[rows]
+        mean = weights.sum() / max(1, -(-len(rows) // BATCH))
+        for at in range(0, len(rows), BATCH):
+            t = triples[at : at + BATCH]
+            self.batch(t // (size * size), t // size % size, t % size, (weights[at : at + BATCH] / mean).astype(np.float32))
+        return len(w)
+
+    @staticmethod
+    def _gathered(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the rows by index."""
+        wide = rows.shape[1]
+        flat = (index[:, None] * wide + np.arange(wide)).ravel()
+        return np.bincount(flat, weights=rows.ravel(), minlength=size * wide).reshape(size, wide).astype(np.float32)
+
+    def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
+        """One step; the weights of a mean minibatch sum up to 1."""
         r, q, a, b = (self.parts[k] for k in ("r", "q", "a", "b"))
-        n = len(w)
+        size = len(b)
         drawn = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(b) - 1)
         r1, r2, qw, qn = r[c1], r[c2], q[w], q[drawn]
         guess = r1 * a[0] + r2 * a[1]
-        right = 1 / (1 + np.exp(np.clip((guess * qw).sum(axis=1) + b[w] - self.noise[w], -30, 30)))
-        wrong = -1 / (1 + np.exp(-np.clip(guess @ qn.T + b[drawn] - self.noise[drawn], -30, 30)))
-        d_guess = (right[:, None] * qw + wrong @ qn) / n
-        d_q, d_b, d_r = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
-        np.add.at(d_q, w, right[:, None] * guess / n)
-        np.add.at(d_q, drawn, wrong.T @ guess / n)
-        np.add.at(d_b, w, right / n)
-        np.add.at(d_b, drawn, wrong.sum(axis=0) / n)
-        np.add.at(d_r, c1, d_guess * a[0])
-        np.add.at(d_r, c2, d_guess * a[1])
+        right = weight / (1 + np.exp(np.clip((guess * qw).sum(axis=1) + b[w] - self.noise[w], -30, 30)))
+        wrong = -weight[:, None] / (1 + np.exp(-np.clip(guess @ qn.T + b[drawn] - self.noise[drawn], -30, 30)))
+        d_guess = right[:, None] * qw + wrong @ qn
+        d_q = self._gathered(w, right[:, None] * guess, size) + self._gathered(drawn, wrong.T @ guess, size)
+        d_b = np.bincount(w, weights=right, minlength=size) + np.bincount(drawn, weights=wrong.sum(axis=0), minlength=size)
+        d_r = self._gathered(c1, d_guess * a[0], size) + self._gathered(c2, d_guess * a[1], size)
         d_a = np.stack([(d_guess * r1).sum(axis=0), (d_guess * r2).sum(axis=0)])
         for name, grad in (("r", d_r), ("q", d_q), ("a", d_a), ("b", d_b)):
             self._step(name, grad)
@@ -170,19 +195,16 @@ def train(rows: DataFrame, model: Model) -> Model:
 
         def fit() -> None:
             nonlocal held, size, steps
-            c1, c2, w = contexts(held, model.start)
-            order = trainer.rng.permutation(len(w))
-            for at in range(0, len(w), BATCH):
-                k = order[at : at + BATCH]
-                trainer.batch(c1[k], c2[k], w[k])
-                steps += 1
+            tokens_held = contexts(held, model.start)
+            for _ in range(PASSES):
+                steps += trainer.fit(*tokens_held)
             held, size = [], 0
 
         for batch in batches:
             for raw in batch.column(0):
                 held.append(model.classes(tokens(raw.as_py())))
                 size += len(held[-1])
-                if size >= RUN:
+                if size >= TRAIN_RUN:
                     fit()
         if held:
             fit()

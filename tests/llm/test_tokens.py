@@ -145,7 +145,7 @@ def test_model_is_normalised_and_learns():
     trainer = op4.Trainer(model)
     c1, c2, w = op4.contexts([w], model.start)
     for at in range(0, len(w), 256):
-        trainer.batch(c1[at : at + 256], c2[at : at + 256], w[at : at + 256])
+        trainer.fit(c1[at : at + 256], c2[at : at + 256], w[at : at + 256])
     scorer = op4.Scorer(op4.Model(words, model.shares, trainer.parts))
     for x in range(5):
         for y in range(5):
