@@ -219,11 +219,25 @@ def identify_languages(
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all their columns, without those whose language can't be told (``und``)."""
-    rejected = identify_languages(docs, **options).filter("lang_pred = 'und'").select(F.col("doc_id").alias("__gone_id"))
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left_anti")
+def keep_known(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS
+) -> DataFrame:
+    """The documents with all their columns, without those whose language can't be told (``und``).
+
+    Each row is judged where it is read; nothing shuffles.  Where nothing was labelled, no row can be told.
+    """
+    sample = tuple(training_sample(docs, id_col, text_col, lang_col, folds, train_docs, train_chars).items())
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(sample)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                known = [lang != "und" for lang, _ in parser.predict(part.column(at).to_pylist())]
+                yield part.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
