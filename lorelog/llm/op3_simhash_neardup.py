@@ -12,8 +12,9 @@ with the square of the number of different fingerprints, which is the nature of
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -33,6 +34,13 @@ SEED = 42
 SLICE = 1 << 20
 #: Rows of a tile that meet the whole of another at a time.
 STRIP = 64
+#: Words of a wide fingerprint that the sieve compares.
+SIEVE_WORDS = 2
+#: Up to so many shingles in the union, a bit's chance to differ is summed up exactly.
+SMALL_UNION = 60
+#: Rows, and bytes of shingle hashes, of a block of candidates.
+BLOCK_ROWS = 256
+BLOCK_BYTES = 4 << 20
 
 
 def word_slices(raw: bytes) -> Iterator[list[bytes]]:
@@ -112,22 +120,25 @@ def _tile_arrays(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """One list of (fp, node): the fingerprints as (n, words) and the nodes."""
     rows = column.values if isinstance(column, pa.ListScalar) else column
     fp, node = rows.field("fp"), rows.field("node")
-    return np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint64).reshape(-1, words), node.to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint64).reshape(len(fp), -1)[:, :words], node.to_numpy(zero_copy_only=False)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, sieve: int) -> Iterator[tuple[int, int]]:
+def tile_links(
+    a: np.ndarray, b: np.ndarray | None, radius: int, sieve: int, sieve_words: int = 1, sure: Callable[[int, int], bool] | None = None
+) -> Iterator[tuple[int, int]]:
     """Links (row of a, row of b) that join what the links before have not joined; b None: a with itself.
 
-    ``sieve`` bounds the first word's distance, which is cheap; ``radius`` the whole distance.
+    ``sieve`` bounds the distance of the first ``sieve_words`` words, which is cheap; ``radius`` the whole distance.  With ``sure`` a pair is a link only if it says so, and every pair that is not yet joined is asked for.
     """
     own = b is None
     b = a if own else b
     n = len(a)
     label = np.arange(n if own else n + len(b))
     shift = 0 if own else n
+    heads = np.ascontiguousarray(b[:, :sieve_words].T)
     for at in range(0, n, STRIP):
         strip = a[at : at + STRIP]
-        near = np.bitwise_count(strip[:, :1] ^ b[None, :, 0]) <= sieve
+        near = sum(np.bitwise_count(strip[:, w : w + 1] ^ heads[w]) for w in range(sieve_words)) <= sieve
         if own:
             near &= np.arange(len(b))[None, :] > np.arange(at, at + len(strip))[:, None]
         i, j = np.nonzero(near)
@@ -141,6 +152,15 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, sieve: int) ->
             continue
         for row in np.unique(i):
             others = j[i == row] + shift
+            if sure:
+                others = others[label[others] != label[at + row]]
+                while len(others):
+                    if sure(int(at + row), int(others[0] - shift)):
+                        yield int(at + row), int(others[0] - shift)
+                        label[label == label[others[0]]] = label[at + row]
+                    others = others[1:]
+                    others = others[label[others] != label[at + row]]
+                continue
             kinds, first = np.unique(label[others], return_index=True)
             mine = label[at + row]
             new = kinds != mine
@@ -150,8 +170,11 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, sieve: int) ->
                 label[np.isin(label, kinds[new])] = mine
 
 
-def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int, sieve: int) -> DataFrame:
-    """Links (a, b) between nodes whose fingerprints are within radius; classes: (fp, node), fps differ."""
+def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int, sieve: int, sieve_words: int = 1) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints are within radius; classes: (fp, node), fps differ.
+
+    Bytes of fp beyond ``words`` words only tell classes apart.
+    """
     width = 64 * words // segments
     step = 1 if segments > 1 else radius + 1  # one segment: counts are dealt into strips as wide as the reach
     reach = radius if segments > 1 else 1
@@ -183,7 +206,7 @@ def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int,
                 a, nodes = _tile_arrays(batch.column(0)[k], words)
                 other = batch.column(1)[k]
                 b, nodes_b = _tile_arrays(other, words) if other.is_valid else (None, nodes)
-                found = list(tile_links(a, b, radius, sieve))
+                found = list(tile_links(a, b, radius, sieve, sieve_words))
                 if found:
                     i, j = np.array(found).T
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[i], pa.int64()), pa.array(nodes_b[j], pa.int64())], ["a", "b"])
@@ -191,15 +214,34 @@ def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int,
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def wide_radius(similarity: float, words: int) -> tuple[int, int]:
-    """(radius, sieve) for shingle sets of this Jaccard similarity: the expected distance and one deviation more.
+def flip_chance(common: int, own_a: int, own_b: int) -> float:
+    """The probability that a fingerprint's bit differs between sets with so many common shingles and so many of their own."""
+    over = lambda own, s: sum(math.comb(own, i) for i in range(own + 1) if 2 * (s + i) > common + own) / 2**own
+    both = [(math.comb(common, s) / 2**common, over(own_a, s), over(own_b, s)) for s in range(common + 1)]
+    return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in both)
+
+
+@functools.cache
+def wide_radius(similarity: float, words: int, miss: float = 1e-6) -> tuple[int, int]:
+    """(radius, sieve on the first SIEVE_WORDS words): each passes pairs of at least this Jaccard similarity but for a
+    chance of ``miss``.
 
-    Sets with similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi.  The sieve on the
-    first word allows four deviations.
+    A bit differs with probability angle / pi, with cosine 2s / (1 + s) at similarity s; that is the limit for many
+    shingles, and the exact chance is taken where it is greater, over all pairs of small sets.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * words
-    return int(bits * p + math.sqrt(bits * p * (1 - p))), math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for union in range(2, SMALL_UNION + 1):
+        for own in range(1, int(union * (1 - similarity) + 1e-9) + 1):
+            chance = max([chance] + [flip_chance(union - own, x, own - x) for x in range(own // 2 + 1)])
+
+    def reach(bits: int) -> int:
+        left, r = 1.0, -1
+        while left > miss:
+            r += 1
+            left -= math.comb(bits, r) * chance**r * (1 - chance) ** (bits - r)
+        return r
+
+    return reach(64 * words), reach(64 * SIEVE_WORDS)
 
 
 def near_components(
@@ -234,14 +276,101 @@ def near_components(
     return out.unionByName(prints.filter(F.col("doc_id").isNull()).select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
+def shingle_set(raw: bytes | None, k: int) -> np.ndarray:
+    """The different shingle hashes of the text, ascending."""
+    found = list(shingle_hashes(raw or b"", k))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets have at least this Jaccard similarity; two empty ones are equal."""
+    few, many = sorted((len(x), len(y)))
+    if few < similarity * many - 1e-9:
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (few + many - common) - 1e-9
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, whole: bool = False) -> DataFrame:
+    """Rows (doc_id, fp), with ``whole`` also the set: fp has ``words`` words of fingerprint and two of the set's digest."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets, prints = [], []
+                for raw in part.column(1):
+                    hashes = shingle_set(raw.as_py(), k)
+                    prints.append(fingerprint(raw.as_py(), k, words) + xxhash.xxh3_128_digest(hashes.tobytes()))
+                    if whole:
+                        sets.append(hashes.tobytes())
+                arrays = [part.column(0), pa.array(prints, pa.binary())] + ([pa.array(sets, pa.binary())] if whole else [])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "set"][: len(arrays)])
+
+    return rows.mapInArrow(run, "doc_id long, fp binary" + (", set binary" if whole else ""))
+
+
+def sure_links(sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between rows (node, fp, set, component) of one component whose sets have the similarity.
+
+    A component is dealt into blocks of bounded rows and bytes, and every block meets itself and the blocks after it, so
+    no large component lands in one task.
+    """
+    radius, sieve = wide_radius(similarity, words)
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("set")).alias("bytes"))
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    many = stored(sizes.filter("blocks > 1"), "op3-blocks")
+    # a block has BLOCK_ROWS rows or BLOCK_BYTES, so the components with several are few beside the rows
+    dealt = sets.join(F.broadcast(many), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "fp"), F.col("blocks")).cast("int"))
+    blocks = stored(dealt.groupBy("component", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("fp", "node", "set")).alias("rows")), "op3-candidates")
+    guests = blocks.filter("blocks > 1 or size(rows) > 1").select(
+        "component", F.col("block").alias("own"), F.col("rows").alias("guest"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block")
+    )
+    alone = guests.filter("own = block").select("guest", F.lit(None).cast(guests.schema["guest"].dataType).alias("rows"))
+    across = guests.filter("own <> block").join(blocks, ["component", "block"]).select("guest", "rows")
+
+    def sets_of(rows: pa.ListScalar) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype=np.uint64) for x in rows.values.field("set").to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, other in zip(batch.column(0), batch.column(1)):
+                a, nodes = _tile_arrays(mine, words)
+                b, nodes_b = _tile_arrays(other, words) if other.is_valid else (None, nodes)
+                own = sets_of(mine)
+                theirs = sets_of(other) if other.is_valid else own
+                found = list(tile_links(a, b, radius, sieve, SIEVE_WORDS, lambda x, y: alike(own[x], theirs[y], similarity)))  # noqa: B023
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i], pa.int64()), pa.array(nodes_b[j], pa.int64())], ["a", "b"])
+
+    return alone.unionByName(across).mapInArrow(run, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, words: int = 16, tile: int = 8192) -> DataFrame:
     """The documents with all their columns, one (the smallest id) of each group of near copies.
 
-    Near means a Jaccard similarity of at least ``similarity`` between sets of k-word shingles, as estimated by
-    fingerprints of 64 * words bits.  Rows without an id stay.
+    Near means a Jaccard similarity of at least ``similarity`` between sets of k-word shingles.  Fingerprints of 64 *
+    words bits name the candidates (a near pair is missed with a chance of a few in a million), and the candidates'
+    shingle sets, made again from their texts, decide.  Rows without an id stay.
     """
     radius, sieve = wide_radius(similarity, words)
-    found = near_components(docs, id_col, text_col, k, words, radius, 1, tile, sieve)
+    prints = stored(set_prints(docs, id_col, text_col, k, words).filter("doc_id is not null"), "op3-prints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "op3-classes")
+    maybe = stored(components(links(classes.select("fp", "node"), words, radius, 1, tile, sieve, SIEVE_WORDS), "op3-links"), "op3-maybe")
+    texts = docs.join(maybe.select(F.col("node").alias("__node")), F.col(id_col).cast("long") == F.col("__node"), "left_semi")
+    sets = set_prints(texts, id_col, text_col, k, words, True).withColumnRenamed("doc_id", "node").join(maybe, "node")
+    sets = stored(sets, "op3-sets")
+    # an id that stands in several classes joins them
+    twice = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("fps")).filter("fps > 1").select("doc_id")
+    again = prints.join(twice, "doc_id").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    joined = components(sure_links(sets, words, similarity).unionByName(again), "op3-links")
+    named = classes.join(joined, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
+    found = join_by_class(prints, stored(named, "op3-named"), "fp", "size", prints.count(), "inner")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id"))
     return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
 

@@ -155,6 +155,22 @@ def test_wide_prints_find_near_copies(spark):
     assert {r.doc_id for r in op3.one_of_each(docs, tile=7).collect()} == set(range(20))
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_copies_are_decided_by_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(op3, "BLOCK_ROWS", block)
+    table, kept = [], set()
+    for n, (size, less) in enumerate([(5, 1), (10, 2), (100, 20), (190, 38)] * 10):
+        words = [f"t{n}w{i}" for i in range(size + 4)]  # so many shingles
+        table += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[: len(words) - less]))]  # 0.8
+        other = [f"s{n}w{i}" for i in range(size + 4)]
+        table += [(10 * n + 2, " ".join(other)), (10 * n + 3, " ".join(other[: len(other) - less - 1]))]  # just below
+        kept |= {10 * n, 10 * n + 2, 10 * n + 3}
+    group = [f"g{i}" for i in range(104)]
+    table += [(1000 + i, " ".join([*group, *(f"h{i}x{j}" for j in range(5))])) for i in range(20)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert {r.doc_id for r in op3.one_of_each(docs, tile=64).collect()} == kept | {1000}
+
+
 def test_tile_links_join_all_with_few_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 4, dtype=np.uint64)
