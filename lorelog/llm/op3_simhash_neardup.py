@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -85,10 +85,14 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def fingerprint(raw: bytes | None, k: int = SHINGLE, words: int = 1) -> bytes:
-    """A bit is 1 if it is set in over half the shingle hashes; no words give zero."""
+    """A bit is 1 if it is set in over half the shingle hashes, repeats included; no words give zero."""
+    return _majority(shingle_hashes(raw or b"", k), words)
+
+
+def _majority(hashes: Iterable[np.ndarray], words: int) -> bytes:
     ones = np.zeros(64 * words, dtype=np.int64)
     n = 0
-    for h in shingle_hashes(raw or b"", k):
+    for h in hashes:
         n += len(h)
         for at in range(0, len(h), 1 << 15):
             part = h[at : at + (1 << 15)]
@@ -294,7 +298,10 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, whole: bool = False) -> DataFrame:
-    """Rows (doc_id, fp), with ``whole`` also the set: fp has ``words`` words of fingerprint and two of the set's digest."""
+    """Rows (doc_id, fp), with ``whole`` also the set: fp has ``words`` words of fingerprint and two of the set's digest.
+
+    Each different shingle counts once, as the similarity is one of sets.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +311,7 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int,
                 sets, prints = [], []
                 for raw in part.column(1):
                     hashes = shingle_set(raw.as_py(), k)
-                    prints.append(fingerprint(raw.as_py(), k, words) + xxhash.xxh3_128_digest(hashes.tobytes()))
+                    prints.append(_majority([hashes], words) + xxhash.xxh3_128_digest(hashes.tobytes()))
                     if whole:
                         sets.append(hashes.tobytes())
                 arrays = [part.column(0), pa.array(prints, pa.binary())] + ([pa.array(sets, pa.binary())] if whole else [])

@@ -171,6 +171,14 @@ def test_near_copies_are_decided_by_exact_similarity(spark, monkeypatch, block):
     assert {r.doc_id for r in op3.one_of_each(docs, tile=64).collect()} == kept | {1000}
 
 
+def test_repeats_of_a_passage_do_not_count_in_near_copies(spark):
+    passage = [f"p{i}" for i in range(24)]
+    own = [[f"{c}{i}" for i in range(304)] for c in "abc"]
+    table = [(1, own[0] + passage * 20), (2, own[1] + passage * 20), (3, own[2] + passage * 2), (4, own[2] + passage * 10)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in table], "doc_id long, text string")
+    assert {r.doc_id for r in op3.one_of_each(docs).collect()} == {1, 2, 3}
+
+
 def test_tile_links_join_all_with_few_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 4, dtype=np.uint64)
