@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorelog.storage import drop_stored, stored
+
 #: Up to this many edges the graph is walked on the driver (some tens of MB); larger ones by rounds of joins.
 DRIVER_EDGES = 2_000_000
 
@@ -44,12 +47,67 @@ def levels(edges: DataFrame) -> DataFrame:
     the smaller node does."""
     rows = _small(edges)
     if rows is None:
-        raise ValueError(f"the order needs at most {DRIVER_EDGES} edges")
+        return _levels_by_joins(edges)
     order = topological([(r["child"], r["parent"]) for r in rows])
     kind = edges.schema["child"].dataType.simpleString()
     return edges.sparkSession.createDataFrame([(n, lv, i) for i, (n, lv) in enumerate(order)], f"node {kind}, level int, position int")
 
 
+def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, top): top is the greatest of the node and all that it reaches.  Each round places the nodes whose
+    parents are all placed."""
+    pending = stored(edges.select("child", "parent", F.lit(None).cast("int").alias("up"), F.lit(None).cast(edges.schema["parent"].dataType).alias("most")), "dag-edges")
+    front = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level"), F.col("node").alias("top"))
+    placed = []
+    while True:
+        front = stored(front, "dag-front")
+        placed.append(front)
+        if pending.isEmpty():
+            break
+        if front.isEmpty():
+            raise ValueError("the graph has a cycle")
+        filled = pending.join(front.withColumnRenamed("node", "parent"), "parent", "left")
+        filled = stored(filled.select("child", "parent", F.coalesce("up", "level").alias("up"), F.coalesce("most", "top").alias("most")), "dag-edges")
+        ready = filled.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("k"), F.max("up").alias("up"), F.max("most").alias("most")).filter("n = k")
+        front = stored(ready.select(F.col("child").alias("node"), (F.col("up") + 1).cast("int").alias("level"), F.greatest("child", "most").alias("top")), "dag-front")
+        drop_stored(pending)
+        pending = stored(filled.join(front.select(F.col("node").alias("child")), "child", "left_anti"), "dag-edges")
+        drop_stored(filled)
+    return stored(reduce(DataFrame.unionByName, placed), "dag-placed")
+
+
+def _levels_by_joins(edges: DataFrame) -> DataFrame:
+    """levels() without gathering the graph.
+
+    A node comes after all with a smaller top, as one of their ancestors is always free and smaller.  Of the nodes with
+    one top, the top itself is first and the others follow by the same rule among themselves, so the falling row of tops
+    that ends with the node is its place in the order.
+    """
+    edges = stored(edges.select("child", "parent").distinct(), "dag-all")
+    nodes = stored(edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct(), "dag-nodes")
+    found = _peeled(nodes, edges)
+    levels_of = found.select("node", "level")
+    state = found.select("node", F.array("top").alias("key"), "top")
+    done = []
+    while True:
+        done.append(stored(state.filter("node = top").select("node", "key"), "dag-done"))
+        state = stored(state.filter("node <> top"), "dag-state")
+        if state.isEmpty():
+            break
+        child = state.select(F.col("node").alias("child"), F.col("key").alias("child_key"))
+        parent = state.select(F.col("node").alias("parent"), F.col("key").alias("parent_key"))
+        inner = stored(edges.join(child, "child").join(parent, "parent").filter("child_key = parent_key").select("child", "parent"), "dag-inner")
+        tops = _peeled(state.select("node"), inner).select("node", "top")
+        state = state.select("node", "key").join(tops, "node").select("node", F.concat("key", F.array("top")).alias("key"), "top")
+    keyed = reduce(DataFrame.unionByName, done).join(levels_of, "node")
+    dealt = stored(keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "dag-keyed")
+    sizes = sorted(tuple(r) for r in dealt.groupBy("part").count().collect())  # one row a partition
+    before = [(part, sum(n for p, n in sizes if p < part)) for part, _ in sizes]
+    starts = edges.sparkSession.createDataFrame(before, "part int, before long")
+    number = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    return dealt.join(F.broadcast(starts), "part").select("node", "level", (F.col("before") + number - 1).cast("int").alias("position"))
+
+
 def topological(edges: list[tuple], rank=None) -> list[tuple]:
     """[(node, level)] with parents first; ``rank`` orders nodes that are free at the same time."""
     import heapq
@@ -87,8 +145,6 @@ def merge_diff_parents(commits: DataFrame) -> DataFrame:
     """
     edges = commits.select("hash", "tree", F.posexplode("parents").alias("parent_no", "parent"))
     trees = commits.select(F.col("hash").alias("parent"), F.col("tree").alias("parent_tree"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("hash").orderBy("parent_no")
     shown = edges.join(trees, "parent", "left").filter(F.col("parent_tree").isNull() | (F.col("parent_tree") != F.col("tree")))
     return shown.select("hash", (F.row_number().over(w) - 1).alias("diff_no"), "parent_no")

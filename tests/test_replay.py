@@ -133,6 +133,16 @@ def test_joins_walk_a_graph_too_large_for_the_driver(spark, monkeypatch, tmp_pat
     assert {r.node for r in dag.ancestors(edges, "d").collect()} == {"a", "b", "c", "d"}
 
 
+def test_joins_order_a_graph_too_large_for_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(dag, "DRIVER_EDGES", 2)
+    pairs = [(1, 9), (9, 5), (2, 9), (3, 2), (3, 1), (7, 5), (8, 3), (4, 8), (6, 4), (10, 6), (0, 10)]
+    found = dag.levels(spark.createDataFrame(pairs, "child long, parent long")).collect()
+    assert [(r.node, r.level) for r in sorted(found, key=lambda r: r.position)] == dag.topological(pairs)
+    assert sorted(r.position for r in found) == list(range(len(found)))
+    with pytest.raises(ValueError):
+        dag.levels(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child long, parent long"))
+
+
 def test_merge_diffs_find_their_parents(spark):
     commits = spark.createDataFrame([("m", "t1", ["p", "q", "r"]), ("p", "t0", []), ("q", "t1", []), ("r", "t2", [])], "hash string, tree string, parents array<string>")
     assert {tuple(r) for r in dag.merge_diff_parents(commits).collect()} == {("m", 0, 0), ("m", 1, 2)}
