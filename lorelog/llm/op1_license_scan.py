@@ -127,10 +127,13 @@ def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return stored(votes(texts, template_grams(docs.sparkSession)), "op1-votes", ["kind"])
 
 
+def _verified(coverage: float) -> Column:
+    return F.when(F.col("kind") == "base", F.col("places") > 0).otherwise(F.col("share") >= coverage)
+
+
 def license_spans(found: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The verified spans: doc_id, digest of the text, kind, label, places, first, last, start_word, end_word, share."""
-    merged = spans(found.filter("kind <> 'text'"))
-    return merged.filter(F.when(F.col("kind") == "base", F.col("places") > 0).otherwise(F.col("share") >= coverage))
+    return spans(found.filter("kind <> 'text'")).filter(_verified(coverage))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -138,16 +141,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no words and no labels (score 0).  Rows that repeat an id and a text get the same
     result each; rows that share only the id are scanned apart.  Other columns are ignored; an empty table
-    gives no rows.  ``score`` is the best covered share of any template, 1 where a base phrase stands.
+    gives no rows.  ``score`` is the best covered share of any template, 1 where a base phrase stands; a template
+    gives its label from the share ``coverage`` on.
     """
     found = license_votes(docs, id_col, text_col)
     is_base = F.col("kind") == "base"
-    labels = license_spans(found, coverage).groupBy("doc_id", "digest").agg(
+    verified = spans(found.filter("kind <> 'text'")).withColumn("verified", _verified(coverage)).filter("verified or kind <> 'base'")
+    labels = verified.groupBy("doc_id", "digest").agg(
         F.sum(F.when(is_base, F.col("places")).otherwise(0)).alias("n_base"),
         F.min(F.when(is_base, F.col("first"))).alias("first_word"),
         F.max(F.when(is_base, F.col("last"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("verified"), F.col("label")))), ",").alias("labels"),
         F.max(F.least(F.col("share"), F.lit(1.0))).alias("score"),
     )
     rows = found.filter("kind = 'text'").select("doc_id", "digest", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
