@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorelog.storage import components, drop_stored, join_by_class, stored
 
-__all__ = ["BLANKS", "UPPER", "components", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "whole_text"]
+__all__ = ["BLANKS", "UPPER", "components", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "unused", "whole_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six ASCII white-space characters that the text contracts name.
@@ -26,3 +26,15 @@ def whole_text(col: str = "text") -> Column:
 def id_crc(col: str = "doc_id") -> Column:
     """CRC-32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (names of columns don't differ by case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out

@@ -1,12 +1,13 @@
 """Exact dedup by two-pass Bloom filtering.
 
-Pass 1 hashes every normalised text to one slot in each of two halves of a bit table and keeps the slots
-that were hit twice or more.  Pass 2 tests every row against those bitmaps: a row with a slot that nobody
-else hit is unique and passes straight through.  Only the other rows shuffle, to be grouped by the SHA-256
-of their normalised text, so a false positive costs a little work and never a wrong answer.
-
-DataFrame functions only.  The bitmaps have at most ``max_bits`` bits, which bounds the broadcast
-(2^28 bits are 32 MB); over about 2^28 / 16 rows the share of false positives rises and more rows shuffle.
+Pass 1 hashes every normalised text to one slot of a bit array and keeps the slots that were hit twice or more; a row
+whose slot nobody else hit is unique and passes straight through.  Pass 2 does the same, with another hash, for the
+rows that are left.  Only what both passes keep shuffles, to be grouped by the SHA-256 of the normalised text, so a
+false positive costs a little work and never a wrong answer.
+
+DataFrame functions only.  An array has about BITS_PER_ROW bits a row, so about one unique row in 16 passes pass 1 and
+one in 250 both, whatever the number of rows.  Arrays are broadcast, so they have RANGE_BITS bits (32 MB) at most;
+over RANGE_BITS / BITS_PER_ROW rows the hashes are dealt into ranges, which go through the passes one after the other.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import join_by_class, stored, whole_text
+from lorelog.llm.common import drop_stored, join_by_class, stored, unused, whole_text
 
 BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
+RANGE_BITS = 1 << 28
 #: Bits in a bitmap of bitmap_construct_agg.
 PAGE = 8 * 4096
+#: Up to so many (id, hash) pairs, about 100 bytes each, are broadcast to the documents.
+NEAR_ROWS = 500_000
 
 
 def normalised(col: str = "text") -> Column:
@@ -32,66 +35,89 @@ def _bit(bitmap: str, position: str) -> Column:
     return F.expr(f"coalesce(({byte} >> cast({position} % 8 as int)) & 1, 0) = 1")
 
 
-def _slots(bits: int) -> list[Column]:
-    """One slot in each half, from 1 on as the bitmap functions count."""
-    return [F.pmod(F.xxhash64("text_sha256", F.lit(i)), F.lit(bits // 2)) + 1 for i in range(2)]
+def array_bits(rows: int) -> int:
+    """Bits of the array for so many rows, in whole pages."""
+    return max(1, -(-rows * BITS_PER_ROW // PAGE)) * PAGE
 
 
-def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: rows (half, page, bitmap) of the slots hit at least twice."""
-    slots = hashes.select(
-        F.inline(F.array(*(F.struct(F.lit(i).alias("half"), slot.alias("slot")) for i, slot in enumerate(_slots(bits)))))
-    )
-    twice = slots.groupBy("half", "slot").count().filter("count > 1")
-    return twice.groupBy("half", F.expr("bitmap_bucket_number(slot)").alias("page")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap")
-    )
+def _slot(bits: int, turn: int) -> Column:
+    """From 1 on, as the bitmap functions count."""
+    return F.pmod(F.xxhash64("text_sha256", F.lit(turn)), F.lit(bits)) + 1
+
+
+def repeated_slots(hashes: DataFrame, bits: int, turn: int) -> DataFrame:
+    """Rows (page, bitmap) of the slots hit at least twice.  Only slot numbers shuffle, one a row, summed map-side."""
+    twice = hashes.select(_slot(bits, turn).alias("slot")).groupBy("slot").count().filter("count > 1")
+    return twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+
+
+def possibly_repeated(hashes: DataFrame, pages: DataFrame, bits: int, turn: int) -> DataFrame:
+    """The rows with a column ``maybe``, false only where no other row has the same text."""
+    out = hashes.withColumn("slot", _slot(bits, turn)).withColumn("page", F.expr("bitmap_bucket_number(slot)")).withColumn("at", F.expr("bitmap_bit_position(slot)"))
+    out = out.join(F.broadcast(pages), "page", "left")
+    return out.withColumn("maybe", _bit("bitmap", "at")).drop("slot", "page", "at", "bitmap")
+
 
+def sifted(hashes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One pass: the rows that are unique, and the rows that may be repeated; both are stored."""
+    bits = array_bits(hashes.count())
+    pages = stored(repeated_slots(hashes, bits, turn), "op8-filter")
+    tested = stored(possibly_repeated(hashes, pages, bits, turn), "op8-tested", ["maybe"])
+    drop_stored(pages)
+    return tested.filter("not maybe").drop("maybe"), tested.filter("maybe").drop("maybe")
 
-def possibly_repeated(hashes: DataFrame, pages: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: the rows with a column ``maybe``, false only where no other row has the same text."""
-    out = hashes
-    for i, slot in enumerate(_slots(bits)):
-        own = F.broadcast(pages.filter(F.col("half") == i).select(F.col("page").alias(f"page{i}"), F.col("bitmap").alias(f"map{i}")))
-        out = out.withColumn(f"slot{i}", slot).withColumn(f"page{i}", F.expr(f"bitmap_bucket_number(slot{i})"))
-        out = out.withColumn(f"pos{i}", F.expr(f"bitmap_bit_position(slot{i})")).join(own, f"page{i}", "left")
-        out = out.withColumn(f"hit{i}", _bit(f"map{i}", f"pos{i}")).drop(f"slot{i}", f"page{i}", f"pos{i}", f"map{i}")
-    return out.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
+
+def _groups(hashes: DataFrame) -> DataFrame:
+    """The result's rows of one range of hashes."""
+    unique, left = sifted(hashes, 0)
+    also_unique, left = sifted(left, 1)
+    alone = unique.unionByName(also_unique).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.lit(False).alias("maybe")
+    )
+    groups = stored(left.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "op8-groups")
+    joined = join_by_class(left, groups, "text_sha256", "group_size", left.count(), "inner")
+    return alone.unionByName(joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", F.lit(True).alias("maybe")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, maybe.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, maybe (whether the row shuffled).
 
     Null and empty texts are one group.  Other columns are ignored, whatever their names.  Rows that repeat
     the smallest id of their group are all marked kept, as they can't be told apart; a null id loses to any
     other id, and a group of null ids alone keeps them all (keep_id null).  An empty table gives no rows.
     """
-    hashes = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("text_sha256")), "op8-hashes"
-    )
-    total = hashes.count()
-    bits = 2 * PAGE
-    while bits < min(total * BITS_PER_ROW, max_bits):
-        bits *= 2
-    pages = stored(repeated_slots(hashes, bits), "op8-filter")
-    tested = stored(possibly_repeated(hashes, pages, bits), "op8-tested", ["maybe"])
-    alone = tested.filter("not maybe").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "maybe"
-    )
-    again = tested.filter("maybe")
-    groups = stored(
-        again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "op8-groups"
-    )
-    joined = join_by_class(again, groups, "text_sha256", "group_size", total, "inner").select(
-        "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "maybe"
-    )
-    return alone.unionByName(joined)
+    hashes = stored(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("text_sha256")), "op8-hashes")
+    ranges = -(-array_bits(hashes.count()) // RANGE_BITS)
+    if ranges == 1:
+        return _groups(hashes)
+    dealt = stored(hashes.withColumn("hash_range", F.pmod(F.xxhash64("text_sha256", F.lit(2)), F.lit(ranges)).cast("int")), "op8-ranges", ["hash_range"])
+    drop_stored(hashes)
+    out = None
+    for k in range(ranges):
+        part = stored(_groups(dealt.filter(F.col("hash_range") == k).drop("hash_range")), "op8-result")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, without the rows whose text a smaller id holds."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left_anti")
+    """The documents with all their columns, one of each group of equal texts: that with the smallest id.
+
+    An id loses to a smaller one, a null id to any; null and empty texts are one group.  A row goes by its id and text
+    together, so rows that share an id and differ in text are judged apart, with or without an id.  Of rows that repeat
+    both the kept id and the text, any one stays.  Other columns pass through, whatever their names.
+    """
+    found = exact_groups(docs, id_col, text_col).filter("maybe")
+    own, sha, gone, again = unused(docs.columns, "id", "sha", "gone", "again")
+    pairs = stored(found.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).agg((~F.first("kept")).alias(gone), (F.count(F.lit(1)) > 1).alias(again)), "op8-pairs")
+    pairs = stored(pairs.filter(F.col(gone) | F.col(again)), "op8-pairs")
+    if pairs.count() <= NEAR_ROWS:
+        pairs = F.broadcast(pairs)
+    rows, pairs = docs.withColumn(sha, F.sha2(normalised(text_col), 256)).alias("d"), pairs.alias("p")
+    same = F.col(f"d.{sha}").eqNullSafe(F.col(f"p.{sha}")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"p.{own}"))
+    joined = rows.join(pairs, same, "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    joined = joined.select("d.*", F.coalesce(F.col(again), F.lit(False)).alias(again))
+    single = joined.filter(F.col(again)).dropDuplicates([id_col, sha])
+    return joined.filter(~F.col(again)).unionByName(single).drop(sha, again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
