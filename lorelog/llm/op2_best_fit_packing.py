@@ -38,8 +38,9 @@ LARGE = (2, 3, 6)
 GROUPS = 32
 LP_STEPS = 2000
 #: Pieces that a rank bucket holds, about.
-BUCKET_ROWS = 20_000
-CACHE_WORDS = 400_000
+BUCKET_ROWS = 2_000
+CACHE_WORDS = 200_000
+LONG_WORD = 64
 SLICE = 1 << 20
 
 #: The vocabulary's published splitting pattern; a fixed value.
@@ -47,25 +48,36 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 class WordCache(dict):
-    """word -> its ids as little-endian 32-bit numbers; forgets all when it is full."""
+    """word -> its ids as little-endian 32-bit numbers.
+
+    Words of up to LONG_WORD characters are remembered, in two generations: when the newer one is full it becomes the
+    older one, and what stands only there is forgotten with the next.
+    """
 
     def __init__(self, encode, limit: int = CACHE_WORDS):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = self.encode(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
 class Coder:
     """Ids of texts under a byte-level BPE vocabulary file of the tokenizers library.
 
-    The pattern never lets a token cross from a non-blank to a single space, so words between single spaces are
-    encoded once and remembered.  Their BPE runs in tiktoken on the same vocabulary (the ids are equal); texts that
-    hold a special token's string go through the tokenizers library whole.
+    The pattern never lets a token cross from a non-blank to a blank, so words between single spaces are encoded once
+    and remembered.  In a run of blanks all but the last are one stretch for the merges (all of them at the text's end),
+    and the last belongs to what follows; so runs of any length never meet the pattern.  The BPE is tiktoken's on the
+    same vocabulary (the ids are equal); texts that hold a special token's string go through the tokenizers library whole.
     """
 
     def __init__(self, path: str):
@@ -80,35 +92,44 @@ class Coder:
         self.core = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.first = WordCache(self._ids, 10_000)
         self.rest = WordCache(lambda word: self._ids(" " + word))
+        self.blanks = WordCache(self._merged, 10_000)
 
     def _ids(self, text: str) -> bytes:
         return array.array("I", self.core.encode_ordinary(text)).tobytes()
 
+    def _merged(self, run: str) -> bytes:
+        return array.array("I", self.core._encode_single_piece(run.encode())).tobytes()
+
     @functools.cached_property
     def whole(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
 
+    def _words(self, text: str) -> Iterator[bytes]:
+        """Ids of a stretch without neighbouring blanks, a bounded number of words at a time."""
+        at = 0
+        while at < len(text):
+            end = text.find(" ", at + SLICE)
+            words = text[at : end if end >= 0 else len(text)].split(" ")
+            yield self.first[words[0]]
+            yield from map(self.rest.__getitem__, words[1:])
+            if end < 0:
+                return
+            at = end
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         out, at = [], 0
-        while at < len(text):
-            cut = _CUT.search(text, at + SLICE) if len(text) - at > SLICE else None
-            part = text[at : cut.start()] if cut else text[at:]
-            if _RUN.search(part):
-                out.append(self._ids(part))
-            else:
-                words = part.split(" ")
-                out.append(self.first[words[0]] if len(words[0]) < 100 else self._ids(words[0]))
-                out.extend(map(self.rest.__getitem__, words[1:]))
-            at += len(part)
+        for run in _RUN.finditer(text):
+            out += self._words(text[at : run.start()])
+            at = run.end() if run.end() == len(text) else run.end() - 1
+            out.append(self.blanks[text[run.start() : at]])
+        out += self._words(text[at:])
         return b"".join(out)
 
 
-#: Two blanks in a row, which the pattern treats together.
-_RUN = re.compile(r"\s\s")
-#: A single space between non-blanks, where a text may be cut.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Neighbouring blanks; the pattern's blanks are those of Unicode's property White_Space, a fixed value.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -305,10 +326,11 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, bound: float) -
 # --- operator ----------------------------------------------------------------------------------------------
 
 
-def ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """The pieces with ``rank``, from 0 and gapless within each length."""
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """The pieces with ``rank``, from 0 and gapless within each length; a length has a bucket for BUCKET_ROWS pieces."""
+    spark = pieces.sparkSession
+    many = spark.createDataFrame([(n, max(1, -(-c // BUCKET_ROWS))) for n, c in histogram.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -322,8 +344,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A null or empty text is one piece of the end id alone.  Repeated rows are packed each on its own; rows without an
-    id too.  Other columns are ignored; an empty table gives no rows.
+    A null or empty text is one piece of the end id alone.  Texts of any length, and runs of blanks of any length, are
+    encoded whole.  Repeated rows are packed each on its own; rows without an id too.  Other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -333,7 +356,7 @@ def pack(
     places = spark.createDataFrame(plan.rows, "length long, first_rank long, places long, first_sequence long, offset long")
     # the plan's size depends on capacity and GROUPS, not on the number of pieces
     here = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("places"))
-    p, q = ranked(pieces, sum(histogram.values())).alias("p"), F.broadcast(places).alias("q")
+    p, q = ranked(pieces, histogram).alias("p"), F.broadcast(places).alias("q")
     joined = p.join(q, (F.col("p.length") == F.col("q.length")) & here)
     return joined.select(
         "doc_id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset", *(["ids"] if with_ids else [])

@@ -35,6 +35,35 @@ def test_ids_are_the_librarys(library, rows, monkeypatch):
     assert [np.frombuffer(coder.encode(t), dtype=np.uint32).tolist() for t in texts] == want
 
 
+LONG = {
+    "blanks": " " * 1_000_000, "lines": "\n" * 1_000_000, "between": "a" + " " * 1_000_000 + "b", "mixed": "x\n" + " \t\n\u3000" * 250_000 + "\u2003y z",
+    "letters": "a" * 1_000_000, "no spaces": "日本語テキスト" * 50_000, "words": "some words " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_runs_have_the_librarys_ids(library, name):
+    coder = op2.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(coder.encode(LONG[name]), dtype=np.uint32).tolist() == library.encode(LONG[name], add_special_tokens=False).ids
+    assert max([0, *map(len, [*coder.first, *coder.rest, *coder.blanks])]) <= op2.LONG_WORD
+
+
+def test_runs_of_blanks_have_the_librarys_ids(library, monkeypatch):
+    coder = op2.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(op2, "SLICE", 11)
+    coder.rest.limit = coder.first.limit = 5
+    rng = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rng.choice("aZ9.'s\u3042\t\n\r \x0b\x1c\x85\xa0\u2003\u3000\u200b    ") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(coder.encode(text), dtype=np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_are_packed(spark):
+    table = spark.createDataFrame([(1, LONG["blanks"]), (2, LONG["between"]), (3, None)], "doc_id long, text string")
+    found = op2.pack(table).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in found} == {1: 1_000_001, 2: 1_000_002, 3: 1}
+
+
 def check_packing(found, want_pieces, capacity):
     assert sorted(tuple(r)[:5] for r in found) == sorted(want_pieces)
     places = defaultdict(list)
@@ -105,7 +134,8 @@ def test_hot_length_is_ranked_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(op2, "BUCKET_ROWS", 50)
     pieces = spark.range(2000).selectExpr("id as doc_id", "0 as piece", "cast(if(id % 3 = 0, 7, id % 50) as long) as length", "id as ids_crc32")
     got = defaultdict(list)
-    for r in op2.ranked(pieces, 2000).collect():
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    for r in op2.ranked(pieces, histogram).collect():
         got[r.length].append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
 
