@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorelog.storage import components, drop_stored, join_by_class, stored
 
-__all__ = ["BLANKS", "UPPER", "components", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "unused", "whole_text"]
+__all__ = ["BLANKS", "UPPER", "array_bits", "bit_pages", "components", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "unused", "whole_text", "with_bit"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six ASCII white-space characters that the text contracts name.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bits of a bit array for each entry, and in a bitmap of bitmap_construct_agg.
+BITS_PER_ROW = 16
+PAGE = 8 * 4096
 
 
 def lower_ascii(col: Column) -> Column:
@@ -38,3 +41,24 @@ def unused(columns: list[str], *names: str) -> list[str]:
         out.append(name)
         taken.add(name.lower())
     return out
+
+
+def array_bits(rows: int, most: int | None = None) -> int:
+    """Bits of a bit array for so many entries, in whole pages, ``most`` at most."""
+    bits = max(1, -(-rows * BITS_PER_ROW // PAGE)) * PAGE
+    return min(bits, most) if most else bits
+
+
+def bit_pages(slots: DataFrame) -> DataFrame:
+    """Rows (page, bitmap) of a bit array, from rows (slot); slots count from 1."""
+    return slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+
+
+def with_bit(rows: DataFrame, pages: DataFrame, slot: str, name: str) -> DataFrame:
+    """The rows with the bit at their slot (a column) as a boolean column; the pages, which are of bounded size, are broadcast."""
+    page, at, bitmap, key = unused([*rows.columns, name], "page", "at", "bitmap", "key")
+    own = F.broadcast(pages.select(F.col("page").alias(key), F.col("bitmap").alias(bitmap)))
+    rows = rows.withColumn(page, F.expr(f"bitmap_bucket_number(`{slot}`)")).withColumn(at, F.expr(f"bitmap_bit_position(`{slot}`)"))
+    rows = rows.join(own, F.col(page) == F.col(key), "left")
+    byte = f"cast(conv(hex(substring({bitmap}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return rows.withColumn(name, F.expr(f"coalesce(({byte} >> cast({at} % 8 as int)) & 1, 0) = 1")).drop(page, at, bitmap, key)

@@ -15,12 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import drop_stored, join_by_class, stored, unused, whole_text
+from lorelog.llm.common import array_bits, bit_pages, drop_stored, join_by_class, stored, unused, whole_text, with_bit
 
-BITS_PER_ROW = 16
 RANGE_BITS = 1 << 28
-#: Bits in a bitmap of bitmap_construct_agg.
-PAGE = 8 * 4096
 #: Up to so many (id, hash) pairs, about 100 bytes each, are broadcast to the documents.
 NEAR_ROWS = 500_000
 
@@ -30,16 +27,6 @@ def normalised(col: str = "text") -> Column:
     return F.regexp_replace(whole_text(col), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _bit(bitmap: str, position: str) -> Column:
-    byte = f"cast(conv(hex(substring({bitmap}, cast({position} div 8 as int) + 1, 1)), 16, 10) as int)"
-    return F.expr(f"coalesce(({byte} >> cast({position} % 8 as int)) & 1, 0) = 1")
-
-
-def array_bits(rows: int) -> int:
-    """Bits of the array for so many rows, in whole pages."""
-    return max(1, -(-rows * BITS_PER_ROW // PAGE)) * PAGE
-
-
 def _slot(bits: int, turn: int) -> Column:
     """From 1 on, as the bitmap functions count."""
     return F.pmod(F.xxhash64("text_sha256", F.lit(turn)), F.lit(bits)) + 1
@@ -47,15 +34,12 @@ def _slot(bits: int, turn: int) -> Column:
 
 def repeated_slots(hashes: DataFrame, bits: int, turn: int) -> DataFrame:
     """Rows (page, bitmap) of the slots hit at least twice.  Only slot numbers shuffle, one a row, summed map-side."""
-    twice = hashes.select(_slot(bits, turn).alias("slot")).groupBy("slot").count().filter("count > 1")
-    return twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    return bit_pages(hashes.select(_slot(bits, turn).alias("slot")).groupBy("slot").count().filter("count > 1"))
 
 
 def possibly_repeated(hashes: DataFrame, pages: DataFrame, bits: int, turn: int) -> DataFrame:
     """The rows with a column ``maybe``, false only where no other row has the same text."""
-    out = hashes.withColumn("slot", _slot(bits, turn)).withColumn("page", F.expr("bitmap_bucket_number(slot)")).withColumn("at", F.expr("bitmap_bit_position(slot)"))
-    out = out.join(F.broadcast(pages), "page", "left")
-    return out.withColumn("maybe", _bit("bitmap", "at")).drop("slot", "page", "at", "bitmap")
+    return with_bit(hashes.withColumn("slot", _slot(bits, turn)), pages, "slot", "maybe").drop("slot")
 
 
 def sifted(hashes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:

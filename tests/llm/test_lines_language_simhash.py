@@ -37,7 +37,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (4, 2), (7, 3)])
 def test_lines(docs, rows, batches, fanout):
     found = op6.dedup_lines(docs, batches=batches, fanout=fanout)
-    got = found.select("doc_id", "__n_lines", "__n_dropped", F.sha2("text", 256)).collect()
+    got = found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
     assert sorted(map(tuple, got)) == brute_lines(rows)
     assert found.columns[: len(docs.columns)] == docs.columns
 
@@ -49,6 +49,47 @@ def test_lines_of_nothing(spark, no_docs):
     assert got == [(0, ""), (0, ""), (1, ""), (2, ""), (3, "a" * 50 + "\nb")]
 
 
+def test_line_columns_of_any_name(spark):
+    names = ["__drop", "text_", "id_", "Digest_", "slot_", "hit_", "lines_", "n_lines", "N_dropped", "places", "id", "digest"]
+    table = spark.createDataFrame([(k, f"{'a' * 50}\nown {k}", *names) for k in range(6)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = op6.dedup_lines(table)
+    assert found.columns == [*table.columns, "n_lines_", "n_dropped_"]
+    want = sorted((k, f"own {k}" if k < 5 else "a" * 50 + "\nown 5", *names, 2, int(k < 5)) for k in range(6))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_many_lines_and_long_lines(spark):
+    line = lambda k: f"line number {k} of those that all the documents share"
+    shared = [line(k) for k in range(20_000)]
+    texts = ["\n".join(shared[k:] + shared[:k] + shared[:3]) for k in range(5)] + ["\n" * 1_000_000, "z" * 1_000_000, None, "\n".join([line(0)] * 3000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = op6.dedup_lines(table).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    assert sorted(map(tuple, got)) == brute_lines(list(enumerate(texts)))
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = "a" * 50, "b" * 50
+    rows = [(1, f"{a}\n1"), (1, f"2\n{a}"), (1, f"{a}\n1"), (2, a), (3, a), (None, f"x\n{a}"), (None, f"{a}\ny"), (3, f"{b}\n{a}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in op6.dedup_lines(table).collect())
+    assert got == sorted([("1", "1"), ("1", "2"), ("1", "1"), ("2", ""), ("3", a), ("None", "x"), ("None", "y"), ("3", f"{b}\n{a}")])
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """Neither a run's join with a batch nor the merge of two runs deals or sorts the runs again."""
+    runs = op6.LineRuns(spark, fanout=3)
+    lines = spark.range(1000).selectExpr("id", "unhex(md5(cast(id % 300 as string))) as hash")
+    runs.add(lines)
+    runs.add(lines)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    with op6._sorted_buckets(spark):
+        merge, join = plan(runs.merge(runs.runs())), plan(runs.anti_joined(lines))
+    assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge
+    assert join.count("SortMergeJoin") == 2 and join.count("Exchange") == 1 and join.count("Sort [") == 1  # those of the batch
+    runs.close()
+    assert not runs.runs() and not [t for t in spark.catalog.listTables() if t.name.startswith("lorelog_run")]
+
+
 def test_lines_sql(docs, unique, spark):
     import pandas as pd
 

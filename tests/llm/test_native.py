@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
+from lorelog.llm import common
 from lorelog.llm import op1_license_scan as op1
 from lorelog.llm import op5_url_filter as op5
 from lorelog.llm import op8_exact_dedup as op8
@@ -55,7 +56,7 @@ def test_exact_groups(docs, rows, no_docs, monkeypatch):
     want = sorted((r[0], min(groups[norm(r[1])]), len(groups[norm(r[1])]), r[0] == min(groups[norm(r[1])]), hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows)
     assert sorted(tuple(r)[:5] for r in op8.exact_groups(docs).collect()) == want
     assert {r.text_sha256 for r in op8.exact_groups(docs).filter("not maybe").collect()} <= {w[4] for w in want if w[2] == 1}
-    monkeypatch.setattr(op8, "PAGE", 8)  # arrays of few bits, which let most rows shuffle, and several ranges change nothing
+    monkeypatch.setattr(common, "PAGE", 8)  # arrays of few bits, which let most rows shuffle, and several ranges change nothing
     monkeypatch.setattr(op8, "RANGE_BITS", 400)
     assert sorted(tuple(r)[:5] for r in op8.exact_groups(docs).collect()) == want
     assert op8.exact_groups(no_docs).count() == 0
