@@ -138,12 +138,50 @@ def test_languages(docs, rows, no_docs):
     assert op10.identify_languages(no_docs).count() == 0
     unlabelled = op10.identify_languages(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
-    kept = op10.keep_known(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.lang_pred != "und"}
+
+
+def test_languages_that_stay(spark, docs, rows, no_docs):
+    def spelling(lang):
+        return op10.keep_languages(docs, lang)
+
+    pred = {r.doc_id: r.lang_pred for r in op10.identify_languages(docs).collect()}
+    kept = spelling(None)
+    assert kept.columns == docs.columns
+    got = {r.doc_id: r.lang for r in kept.collect()}
+    foreign = {i for i in pred if pred[i] != "und"} - set(got)
+    assert 3004 in foreign and len(foreign) <= 3  # Japanese among English and German
+    assert all(got[r[0]] == (r[2] or pred[r[0]]) for r in rows if r[0] in got)
+    assert {r.doc_id for r in spelling(("de",)).collect()} == {i for i in got if pred[i] == "de"}
+    assert op10.keep_languages(no_docs).count() == 0
+    assert op10.keep_languages(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+    odd = [(1, "qqq zzz xxx " * 60, None), (2, "日本語のテキスト" * 20, None), (3, None, "en"), (4, "", "de"), (5, "12 !", "en"), (6, " ".join(r[1] for r in rows[:40] if r[2] == "de"), None), (None, rows[0][1] + " house river of the " * 30, "xx")]
+    more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i and 10_000 + i, t, g) for i, t, g in odd], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang for r in op10.keep_languages(more).collect() if r.doc_id is None or r.doc_id > 10_000}
+    assert got == {10_006: "de", None: "xx"}
+
+
+def test_letters_of_many_scripts():
+    rng = np.random.default_rng(7)
+    write = lambda first, n: "".join(chr(first + int(k)) + ("" if rng.random() < 0.7 else " ") for k in rng.integers(0, 300, n) ** 2 // 300)
+    starts = {"a": 0x4E00, "b": 0x4E60, "c": 0xAC00, "d": 0x61}
+    sample = {lang: write(at, 6000) if lang != "d" else "plain words of a language " * 200 for lang, at in starts.items()}
+    parser = op10.CrossParser(tuple(sample.items()))
+    assert max(len(op10.symbols(t, parser.classes)) for t in sample.values()) > 6000
+    seq = op10.symbols("a" + sample["a"][:1] + "\u0416 a", parser.classes)
+    assert seq.max() < op10.WIDTH and list(seq).count(op10.OTHER) == 1 and (seq >= op10.DIGIT).sum() in (0, op10.DIGITS)
+    told = [parser.predict([write(starts[lang], 400)])[0][0] for lang in "abc"]
+    assert told == ["a", "b", "c"]
+
+
+def test_long_texts_have_a_language():
+    text = {"en": "the house of the river and the road " * 300, "de": "das Haus an dem Fluss und der Weg " * 300}
+    parser = op10.CrossParser(tuple(text.items()))
+    long = text["de"] * 120
+    assert len(long) > 1_000_000 and [x[0] for x in parser.predict([long, "und " * 300_000, None, ""])] == ["de", "de", "und", "und"]
 
 
 def brute_fingerprint(text, k=3):
-    words = (text or "").translate(LOWER).split(None) if False else [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if w]
+    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if w]
     grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] if words else []
     ones = Counter(b for g in grams for b in range(64) if xxhash.xxh64_intdigest(g.encode(), 42) >> b & 1)
     return sum(1 << b for b, c in ones.items() if 2 * c > len(grams))
