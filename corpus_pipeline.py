@@ -14,17 +14,20 @@ from lorelog.llm.common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go; all others stay as they are."""
-    return op10_language_id.keep_known(docs)
+    """Documents that the parse can't tell go: those without a letter, and those in none of the labelled languages.
+
+    A document without a label gets the language found; nothing else changes.
+    """
+    return op10_language_id.keep_languages(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more documents share stay in the largest id only; n_chars follows the text."""
     kept = op6_line_dedup.dedup_lines(docs)
-    changed = F.col("__n_dropped") > 0
+    n_lines, n_dropped = kept.columns[-2:]
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.drop("__n_lines", "__n_dropped")
+        kept = kept.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.drop(n_lines, n_dropped)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
