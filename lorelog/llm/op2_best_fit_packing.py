@@ -39,7 +39,7 @@ GROUPS = 32
 LP_STEPS = 2000
 #: Pieces that a rank bucket holds, about.
 BUCKET_ROWS = 2_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 LONG_WORD = 64
 SLICE = 1 << 20
 
@@ -104,14 +104,15 @@ class Coder:
     def whole(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
 
-    def _words(self, text: str) -> Iterator[bytes]:
-        """Ids of a stretch without neighbouring blanks, a bounded number of words at a time."""
+    def _words(self, text: str, out: list[bytes]) -> None:
+        """Adds the ids of a stretch without neighbouring blanks, cut into a bounded number of words at a time."""
         at = 0
         while at < len(text):
-            end = text.find(" ", at + SLICE)
-            words = text[at : end if end >= 0 else len(text)].split(" ")
-            yield self.first[words[0]]
-            yield from map(self.rest.__getitem__, words[1:])
+            end = text.find(" ", at + SLICE) if len(text) - at > SLICE else -1
+            first, *rest = text[at : end if end >= 0 else len(text)].split(" ")
+            if first:
+                out.append(self.first[first])
+            out += map(self.rest.__getitem__, rest)
             if end < 0:
                 return
             at = end
@@ -119,12 +120,13 @@ class Coder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        out, at = [], 0
+        out: list[bytes] = []
+        at = 0
         for run in _RUN.finditer(text):
-            out += self._words(text[at : run.start()])
+            self._words(text[at : run.start()], out)
             at = run.end() if run.end() == len(text) else run.end() - 1
             out.append(self.blanks[text[run.start() : at]])
-        out += self._words(text[at:])
+        self._words(text[at:], out)
         return b"".join(out)
 
 
