@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorelog.storage import components, drop_stored, join_by_class, stored
+from lorelog.storage import components, drop_stored, join_by_class, shared_root, stored
 
-__all__ = ["BLANKS", "UPPER", "array_bits", "bit_pages", "components", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "unused", "whole_text", "with_bit"]
+__all__ = ["BLANKS", "UPPER", "array_bits", "bit_pages", "bucketed", "components", "drop_bucketed", "drop_stored", "id_crc", "join_by_class", "lower_ascii", "stored", "unused", "whole_text", "with_bit"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six ASCII white-space characters that the text contracts name.
@@ -62,3 +65,33 @@ def with_bit(rows: DataFrame, pages: DataFrame, slot: str, name: str) -> DataFra
     rows = rows.join(own, F.col(page) == F.col(key), "left")
     byte = f"cast(conv(hex(substring({bitmap}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
     return rows.withColumn(name, F.expr(f"coalesce(({byte} >> cast({at} % 8 as int)) & 1, 0) = 1")).drop(page, at, bitmap, key)
+
+
+def bucketed(rows: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """The rows as a table of the shared folder, bucketed and sorted by the key, one file a bucket.  ``dealt``: the rows' plan
+    has dealt them by the key already.
+
+    There are as many buckets as shuffle partitions, so that a grouping or merge join by the key takes the buckets where
+    they lie.  The table goes when the driver ends; ``drop_bucketed`` removes it earlier.
+    """
+    spark = rows.sparkSession
+    table = f"lorelog_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/lorelog/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows if dealt else rows.repartition(buckets, key)
+    rows.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    out._bucketed = (table, path)
+    atexit.register(drop_bucketed, out)
+    return out
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Only for a table that no pending plan reads."""
+    spark = df.sparkSession
+    table, path = df._bucketed
+    if spark._sc._jsc is None:
+        return  # the session has ended; the folder's owner clears it
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

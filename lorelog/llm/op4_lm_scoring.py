@@ -1,21 +1,30 @@
 """LM scoring: word counts of the whole corpus, and a log-bilinear model trained by noise-contrastive estimation.
 
-Counts.  Every scan task counts its training tokens; the counts meet by word.  For scoring, documents are dealt into
-blocks of about BLOCK_BYTES; a block sends its distinct words once and gets their counts back (two joins by word and
-block), so the words that shuffle are a fraction of the tokens, and no vocabulary is gathered or broadcast.
-
-Model (Mnih and Hinton, 2007; Mnih and Teh, 2012).  The VOCAB most frequent training tokens and one class for all
-others have vectors; the prediction from the two tokens before is r1 * a1 + r2 * a2 (elementwise), its dot products
-with the class vectors plus biases are the scores.  Every scan task trains on all its training tokens in minibatches
-with shared noise samples; the tasks' parameters are averaged.  For scoring, one batched product gives the scores of
-all classes for all contexts, hence normalised log-probabilities; a token of the last class is then drawn from its
-count: (c + 0.1) / (R + 0.1 (U + 1)), with R the tokens and U the distinct tokens of that class.
+Counts.  Every scan task counts its training tokens; the counts meet by word.  The VOCAB most frequent words (of at least
+MIN_COUNT tokens) and their counts go to all tasks; every other word belongs to one of SUFFIXES classes by a hash of its
+last letters.  Documents are dealt by hash into blocks of about BLOCK_BYTES, as numbers of words and classes, with the
+words of the classes beside them.  For scoring, a block sends each of those words once and gets its count back, so what
+is gathered grows with the corpus, no such word is asked for by more than one row a block, and none is broadcast.
+
+Model (Mnih and Hinton, 2007; Mnih and Teh, 2012).  Words and classes have context vectors r and target vectors q with a
+bias b.  The prediction from the CONTEXT tokens before is the sum of a_j * r_j (elementwise); its dot product with q plus
+b is the log of the target's weight.  It is trained on all training tokens: in each of ROUNDS rounds every block goes
+over its share of the documents in minibatches with shared noise words, from where the mean of all blocks stood after
+the round before.  The sums over blocks are of whole numbers, so neither they nor anything else depends on how the rows
+are laid out.
+
+Scores are normalised exactly by a tree over the words, split by the target vectors into parts of equal mass: a token's
+probability is that of its branch, times that of its leaf there, times that of the word in its leaf.  Branches and
+leaves have the mean vector and the summed weight of their words; all of it is batched matrix products.  A word of a
+suffix class is then drawn from its count: (c + 0.1) / (R + 0.1 (U + 1)), with R the tokens and U the distinct words of
+the class, so that the probabilities of all words seen and one unseen word a class sum up to 1.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,27 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import id_crc, stored
+from lorelog.llm.common import bucketed, drop_bucketed, drop_stored, id_crc, stored
 
 #: The token that ends every text; no word holds a line break.
 END = b"\n"
 FOLDS = 10
 ALPHA = 0.1
-VOCAB = 400
-DIM = 16
-NOISE = 24
+VOCAB = 1 << 15
+MIN_COUNT = 3
+SUFFIXES = 64
+SUFFIX_BYTES = 3
+DIM = 12
+CONTEXT = 4
+NOISE = 16
 BATCH = 512
-RATE = 0.3
-SPREAD = 4
-#: Times that each run of tokens is gone over.
-PASSES = 3
+RATE = 0.1
+ROUNDS = 4
 SEED = 11
-BLOCK_BYTES = 24 << 20
+#: Splits of the tree of words down to a branch, and to a leaf.
+BRANCH_SPLITS, LEAF_SPLITS = 5, 10
+BLOCK_BYTES = 48 << 20
 #: Distinct words that a scan task holds before it hands its counts on.
 HELD_WORDS = 300_000
-#: Tokens trained on, and scored, at a time.
-TRAIN_RUN = 1 << 18
+#: Tokens scored at a time.
 RUN = 1 << 17
+#: Parameters are summed as whole numbers of 1 / GRAIN, in so many slices.
+GRAIN = 1 << 16
+SLICES = 16
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -83,237 +98,386 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Model:
-    """Parameters of the log-bilinear model over ``words`` (most frequent first) and the class of all others."""
+# --- vocabulary ---
 
-    def __init__(self, words: list[bytes], shares: np.ndarray, parts: dict[str, np.ndarray] | None = None):
-        self.words, self.shares = words, shares
-        self.ids = {w: i for i, w in enumerate(words)}
-        n = len(words) + 1
-        if parts is None:
-            rng = np.random.default_rng(SEED)
-            parts = {
-                "r": rng.normal(0, 0.1, (n, DIM)), "q": rng.normal(0, 0.1, (n, DIM)), "a": np.ones((2, DIM)) * [[1.0], [0.5]], "b": np.log(shares),
-            }
-        self.parts = {k: v.astype(np.float32) for k, v in parts.items()}
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([self.parts[k].ravel() for k in ("r", "q", "a", "b")])
+class Lexicon(dict):
+    """word -> number, the end first, then the most frequent; a word outside has the number of its suffix class, after the words'."""
 
-    def with_vector(self, flat: np.ndarray) -> Model:
-        parts, at = {}, 0
-        for k in ("r", "q", "a", "b"):
-            old = self.parts[k]
-            parts[k] = flat[at : at + old.size].reshape(old.shape)
-            at += old.size
-        return Model(self.words, self.shares, parts)
+    def __init__(self, words: list[bytes], counts: list[int], class_tokens: list[int], class_words: list[int]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.counts, self.class_tokens, self.class_words = counts, class_tokens, class_words
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        other, get = len(self.words), self.ids.get
-        return np.fromiter((get(w, other) for w in words), dtype=np.int32, count=len(words))
+    def __missing__(self, word: bytes) -> int:
+        return len(self.counts) + zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
 
-    @property
-    def start(self) -> int:
-        """Stands before a text's first token: the end of the text before."""
-        return self.ids.get(END, len(self.words))
+    def __reduce__(self):
+        return Lexicon, (list(self), self.counts, self.class_tokens, self.class_words)
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint16, count=len(words))
 
-class Trainer:
-    """NCE by AdaGrad over minibatches; each has NOISE noise classes drawn from the class shares."""
+    @functools.cached_property
+    def class_sizes(self) -> np.ndarray:
+        """R + 0.1 (U + 1) of each suffix class."""
+        return np.array(self.class_tokens, dtype=np.float64) + ALPHA * (np.array(self.class_words, dtype=np.float64) + 1)
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.parts = {k: v.copy() for k, v in model.parts.items()}
-        self.grown = {k: np.full_like(v, 1e-2) for k, v in self.parts.items()}
-        self.rng = np.random.default_rng(SEED)
-        self.noise = np.log(np.maximum(NOISE * model.shares, 1e-12)).astype(np.float32)
-        self.ladder = np.cumsum(model.shares)
+    @functools.cached_property
+    def shares(self) -> np.ndarray:
+        every = np.concatenate((np.maximum(np.array(self.counts, dtype=np.float64), ALPHA), self.class_sizes))
+        return every / every.sum()
 
-    def _step(self, name: str, grad: np.ndarray) -> None:
-        self.grown[name] += grad * grad
-        self.parts[name] += RATE * grad / np.sqrt(self.grown[name])
-
-    def fit(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> int:
-        """One pass over tokens; returns their number.
-
-        Equal (context, token) triples are one row with their number as weight.  A row that weighs over SPREAD times
-        the mean is dealt over several minibatches.
-        """
-        size = len(self.model.words) + 1
-        triples, times = np.unique((c1.astype(np.int64) * size + c2) * size + w, return_counts=True)
-        copies = np.ceil(times / (SPREAD * times.mean())).astype(np.int64)
-        rows = self.rng.permutation(np.repeat(np.arange(len(triples)), copies))
-        triples, weights = triples[rows], (times / copies)[rows]
-        mean = weights.sum() / max(1, -(-len(rows) // BATCH))
-        for at in range(0, len(rows), BATCH):
-            t = triples[at : at + BATCH]
-            self.batch(t // (size * size), t // size % size, t % size, (weights[at : at + BATCH] / mean).astype(np.float32))
-        return len(w)
 
-    @staticmethod
-    def _gathered(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-        """Sums of the rows by index."""
-        wide = rows.shape[1]
-        flat = (index[:, None] * wide + np.arange(wide)).ravel()
-        return np.bincount(flat, weights=rows.ravel(), minlength=size * wide).reshape(size, wide).astype(np.float32)
-
-    def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
-        """One step; the weights of a mean minibatch sum up to 1."""
-        r, q, a, b = (self.parts[k] for k in ("r", "q", "a", "b"))
-        size = len(b)
-        drawn = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(b) - 1)
-        r1, r2, qw, qn = r[c1], r[c2], q[w], q[drawn]
-        guess = r1 * a[0] + r2 * a[1]
-        right = weight / (1 + np.exp(np.clip((guess * qw).sum(axis=1) + b[w] - self.noise[w], -30, 30)))
-        wrong = -weight[:, None] / (1 + np.exp(-np.clip(guess @ qn.T + b[drawn] - self.noise[drawn], -30, 30)))
-        d_guess = right[:, None] * qw + wrong @ qn
-        d_q = self._gathered(w, right[:, None] * guess, size) + self._gathered(drawn, wrong.T @ guess, size)
-        d_b = np.bincount(w, weights=right, minlength=size) + np.bincount(drawn, weights=wrong.sum(axis=0), minlength=size)
-        d_r = self._gathered(c1, d_guess * a[0], size) + self._gathered(c2, d_guess * a[1], size)
-        d_a = np.stack([(d_guess * r1).sum(axis=0), (d_guess * r2).sum(axis=0)])
-        for name, grad in (("r", d_r), ("q", d_q), ("a", d_a), ("b", d_b)):
-            self._step(name, grad)
-
-
-def contexts(classes: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token before, token before that, token) of all texts, one behind the other."""
-    w = np.concatenate(classes)
-    first = np.cumsum([0, *map(len, classes)])[:-1]
-    c1, c2 = np.roll(w, 1), np.roll(w, 2)
-    c1[first] = start
-    c2[first] = start
-    second = first[np.diff(np.append(first, len(w))) > 1] + 1
-    c2[second] = start
-    return c1, c2, w
-
-
-def train(rows: DataFrame, model: Model) -> Model:
-    """The average of the parameters that the scan tasks reach; what the driver gets is one model."""
+def lexicon(counts: DataFrame, vocab: int) -> Lexicon:
+    """From the stored counts; what the driver gathers is at most vocab words, the end, and SUFFIXES sums."""
+    is_end = F.col("word") == F.lit(END)
+    top = [(END, sum(r["c"] for r in counts.filter(is_end).collect()))]
+    top += [(bytes(r["word"]), r["c"]) for r in counts.filter((F.col("c") >= MIN_COUNT) & ~is_end).orderBy(F.desc("c"), "word").limit(vocab).collect()]
+    suffix = F.crc32(F.expr(f"substring(word, greatest(length(word) - {SUFFIX_BYTES - 1}, 1), {SUFFIX_BYTES})")) % SUFFIXES
+    sizes, kinds = [0] * SUFFIXES, [0] * SUFFIXES
+    for r in counts.groupBy(suffix.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("u")).collect():
+        sizes[r["k"]], kinds[r["k"]] = r["c"], r["u"]
+    for word, c in top:
+        k = zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
+        sizes[k] -= c
+        kinds[k] -= c > 0
+    return Lexicon([w for w, _ in top], [c for _, c in top], sizes, kinds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, held, size, steps = Trainer(model), [], 0, 0
 
-        def fit() -> None:
-            nonlocal held, size, steps
-            tokens_held = contexts(held, model.start)
-            for _ in range(PASSES):
-                steps += trainer.fit(*tokens_held)
-            held, size = [], 0
+def encoded(rows: DataFrame, words: Lexicon, blocks: int) -> DataFrame:
+    """Rows (block, part, doc_id, digest, held_out, ids, rest), dealt by block: numbers as 16-bit, words of classes by line."""
+    digest = F.xxhash64("doc_id", "raw")
+    dealt = rows.select(F.pmod(digest, F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64(digest), F.lit(ROUNDS)).cast("int").alias("part"), "doc_id", digest.alias("digest"), "held_out", "raw")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(words.counts)
         for batch in batches:
-            for raw in batch.column(0):
-                held.append(model.classes(tokens(raw.as_py())))
-                size += len(held[-1])
-                if size >= TRAIN_RUN:
-                    fit()
-        if held:
-            fit()
-        if steps:
-            flat = Model(model.words, model.shares, trainer.parts).vector()
-            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float32())), pa.array([steps], pa.int64())], ["flat", "steps"])
-
-    found = stored(rows.filter("not held_out").select("raw").mapInArrow(run, "flat array<float>, steps long"), "op4-models")
-    cells = found.select("steps", F.posexplode("flat").alias("at", "x"))
-    means = cells.groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("steps")) / F.sum("steps")).alias("x")).collect()
-    if not means:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                ids, rest = [], []
+                for raw in some.column(5):
+                    own = tokens(raw.as_py())
+                    numbers = words.numbers(own)
+                    ids.append(numbers.tobytes())
+                    rest.append(b"\n".join([own[k] for k in np.flatnonzero(numbers >= size).tolist()]))
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(ids, pa.binary()), pa.array(rest, pa.binary())], ["block", "part", "doc_id", "digest", "held_out", "ids", "rest"])
+
+    out = dealt.mapInArrow(run, "block int, part int, doc_id long, digest long, held_out boolean, ids binary, rest binary")
+    return bucketed(out, "op4_encoded", "block")
+
+
+# --- model ---
+
+
+class Model:
+    """Parameters of the log-bilinear model and the state of AdaGrad, over words and classes."""
+
+    def __init__(self, shares: np.ndarray, start: int, dim: int = DIM, flat: np.ndarray | None = None):
+        self.shares, self.start, self.dim = shares, start, dim
+        n = len(shares)
+        shapes = {"r": (n, dim), "q": (n, dim + 1), "a": (CONTEXT, dim), "grown_r": (n,), "grown_q": (n, 2), "grown_a": (CONTEXT, dim)}
+        if flat is None:
+            rng = np.random.default_rng(SEED)
+            near = np.ones((CONTEXT, dim)) / np.arange(1, CONTEXT + 1)[:, None]
+            first = [rng.normal(0, 0.1, (n, dim)), np.concatenate((rng.normal(0, 0.1, (n, dim)), np.log(shares)[:, None]), axis=1), near]
+            flat = np.concatenate([*(x.ravel() for x in first), np.full(sum(math.prod(shapes[k]) for k in ("grown_r", "grown_q", "grown_a")), 1e-2)])
+        self.flat = flat.astype(np.float32)
+        self.parts, at = {}, 0
+        for name, shape in shapes.items():
+            self.parts[name] = self.flat[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+
+    def guesses(self, before: np.ndarray) -> np.ndarray:
+        """The predicted vector behind each row of contexts, with a 1 for the bias."""
+        r, a = self.parts["r"], self.parts["a"]
+        out = np.ones((before.shape[1], self.dim + 1), dtype=np.float32)
+        out[:, :-1] = sum(r[before[j]] * a[j] for j in range(CONTEXT))
+        return out
+
+
+def contexts(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The CONTEXT tokens before each token, nearest first, and the tokens; ``start`` stands in front of a text."""
+    w = np.concatenate(texts)
+    first = np.cumsum([0, *map(len, texts)])[:-1]
+    before = np.full((CONTEXT, len(w)), start, dtype=w.dtype)
+    for j in range(1, CONTEXT + 1):
+        before[j - 1, j:] = w[:-j]
+        for k in range(j):
+            at = first + k
+            before[j - 1, at[at < len(w)]] = start
+    return before, w
+
+
+def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different indices, sums of their rows)."""
+    order = index.argsort(kind="stable")
+    held = index[order]
+    starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    return held[starts], np.add.reduceat(rows[order], starts)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+class Trainer:
+    """NCE by AdaGrad over minibatches; each has NOISE noise words drawn from the shares."""
+
+    def __init__(self, model: Model, seed: tuple[int, ...] = (SEED,)):
+        self.model = Model(model.shares, model.start, model.dim, model.flat.copy())
+        self.rng = np.random.default_rng(seed)
+        self.ladder = np.cumsum(model.shares)
+        self.noise = np.log(NOISE * model.shares).astype(np.float32)
+
+    def fit(self, texts: list[np.ndarray]) -> None:
+        before, w = contexts(texts, self.model.start)
+        for k in self.rng.permutation(-(-len(w) // BATCH)):
+            self.batch(before[:, k * BATCH : (k + 1) * BATCH], w[k * BATCH : (k + 1) * BATCH])
+
+    def batch(self, before: np.ndarray, w: np.ndarray) -> None:
+        p, dim, m = self.model.parts, self.model.dim, len(w)
+        drawn = np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), len(self.ladder) - 1)
+        seen = p["r"][before.ravel()].reshape(CONTEXT, m, dim)
+        guess = np.ones((m, dim + 1), dtype=np.float32)
+        np.einsum("jmd,jd->md", seen, p["a"], out=guess[:, :dim])
+        target, other = p["q"][w], p["q"][drawn]
+        right = _logistic(np.einsum("md,md->m", guess, target) - self.noise[w])
+        other[:, dim] -= self.noise[drawn]
+        wrong = _logistic(-(guess @ other.T))
+        pull = target[:, :dim] * right[:, None]
+        pull -= wrong @ other[:, :dim]
+        i, grad = _sums(np.concatenate((w, drawn.astype(w.dtype))), np.concatenate((guess * right[:, None], -(wrong.T @ guess))))
+        grown = p["grown_q"][i]
+        grown[:, 0] += np.einsum("nd,nd->n", grad[:, :dim], grad[:, :dim]) / dim
+        grown[:, 1] += grad[:, dim] ** 2
+        p["grown_q"][i] = grown
+        pace = RATE / np.sqrt(grown)
+        grad[:, :dim] *= pace[:, :1]
+        grad[:, dim] *= 0.3 * pace[:, 1]
+        p["q"][i] += grad
+        slope = np.einsum("md,jmd->jd", pull, seen) / m
+        i, grad = _sums(before.ravel(), (pull[None] * p["a"][:, None, :]).reshape(-1, dim))
+        grown = p["grown_r"][i] + np.einsum("nd,nd->n", grad, grad) / dim
+        p["grown_r"][i] = grown
+        grad *= (RATE / np.sqrt(grown))[:, None]
+        p["r"][i] += grad
+        p["grown_a"] += slope * slope
+        p["a"] += 0.1 * RATE * slope / np.sqrt(p["grown_a"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 32 bits where they fit, else in 64."""
+    return x.astype(np.int32 if np.abs(x).max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def _added(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows (slice, n, sums) by slice, one row after the other."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for k, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            own = held.setdefault(k, [0, np.zeros(sizes[k], dtype=np.int64)])
+            own[0] += n
+            own[1] += np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * sizes[k] else np.int64)
+    columns = [pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([_packed(x) for _, x in held.values()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["slice", "n", "sums"])
+
+
+def train(docs: DataFrame, model: Model, round_no: int) -> Model:
+    """The mean of the parameters that the blocks reach on their documents of this round; the driver gets one model."""
+    cuts = [len(model.flat) * k // SLICES for k in range(SLICES + 1)]
+    sizes = [b - a for a, b in zip(cuts, cuts[1:])]
+    schema = "slice int, n long, sums binary"
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+        trainer = Trainer(model, (SEED, round_no, table.column("block")[0].as_py()))
+        trainer.fit([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("ids")])
+        whole = np.rint(trainer.model.flat.astype(np.float64) * GRAIN).astype(np.int64)
+        return pa.table([pa.array(range(SLICES), pa.int32()), pa.array([1] * SLICES, pa.int64()), pa.array([_packed(whole[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["slice", "n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _added(batches, sizes)
+
+    own = docs.filter((F.col("part") == round_no) & ~F.col("held_out")).select("block", "doc_id", "digest", "ids")
+    # summed per task, and then per slice
+    found = own.groupBy("block").applyInArrow(fit, schema).mapInArrow(add, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
+    if not found:
         return model
-    flat = np.zeros(len(means))
-    for r in means:
-        flat[r["at"]] = round(r["x"], 6)
-    return model.with_vector(flat)
+    flat = model.flat.astype(np.float64)
+    for r in found:
+        a, b = cuts[r["slice"]], cuts[r["slice"] + 1]
+        flat[a:b] = np.frombuffer(r["sums"], dtype=np.int32 if len(r["sums"]) == 4 * (b - a) else np.int64) / (GRAIN * r["n"])
+    return Model(model.shares, model.start, model.dim, flat)
+
+
+# --- scores ---
+
+
+def _split(rows: np.ndarray, vectors: np.ndarray, mass: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The rows cut into halves of equal mass along their widest direction, ``depth`` times."""
+    if not depth or len(rows) < 2:
+        return [rows]
+    m = mass[rows] / mass[rows].sum()
+    off = vectors[rows] - m @ vectors[rows]
+    along = off @ np.linalg.eigh((off * m[:, None]).T @ off)[1][:, -1]
+    order = rows[np.lexsort((rows, along))]
+    cut = min(max(1, int(np.searchsorted(np.cumsum(mass[order]), mass[rows].sum() / 2)) + 1), len(rows) - 1)
+    return _split(order[:cut], vectors, mass, depth - 1) + _split(order[cut:], vectors, mass, depth - 1)
+
+
+def _pooled(q: np.ndarray) -> np.ndarray:
+    """One vector with a bias for a set of them: the weighted mean, and the log of the summed weights."""
+    top = q[:, -1].max()
+    weights = np.exp(q[:, -1] - top)
+    return np.append(weights @ q[:, :-1] / weights.sum(), top + np.log(weights.sum()))
 
 
 class Scorer:
-    """Normalised log10 probabilities of all classes in all contexts of two tokens."""
-
-    def __init__(self, model: Model):
-        r, q, a, b = (model.parts[k].astype(np.float64) for k in ("r", "q", "a", "b"))
-        n = len(b)
-        self.n, self.b = n, b
-        self.left, self.right = r * a[0], r * a[1]
-        self.q = q
-        # the scores of a context are a sum over its two tokens
-        near, far = self.left @ q.T, self.right @ q.T
-        self.norm = np.empty((n, n))
-        for c1 in range(n):
-            scores = near[c1] + far + b
-            top = scores.max(axis=1)
-            self.norm[c1] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        self.near, self.far = near, far
-
-    def log10(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (self.near[c1, w] + self.far[c2, w] + self.b[w] - self.norm[c1, c2]) / math.log(10)
+    """Normalised log10 probabilities by a tree over the words; suffix classes are branches of their own."""
+
+    def __init__(self, model: Model, words: int):
+        self.model = model
+        q = model.parts["q"].astype(np.float64)
+        # a branch: its leaves; a leaf: its words
+        tops = _split(np.arange(words), q[:, :-1], model.shares, BRANCH_SPLITS) if words else []
+        tree = [_split(top, q[:, :-1], model.shares, LEAF_SPLITS - BRANCH_SPLITS) for top in tops]
+        pooled = [np.array([_pooled(q[leaf]) for leaf in leaves]) for leaves in tree]
+        small = lambda rows: np.ascontiguousarray(np.asarray(rows).T, dtype=np.float32)
+        n = len(q)
+        self.branch, self.leaf, self.place = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        self.branches = small([*(_pooled(x) for x in pooled), *q[words:]])
+        self.branch[words:] = np.arange(len(tree), len(tree) + n - words)
+        self.leaves = [small(x) for x in pooled]
+        self.words: list[np.ndarray] = []
+        self.first_leaf: list[int] = []
+        for k, leaves in enumerate(tree):
+            self.first_leaf.append(len(self.words))
+            for j, leaf in enumerate(leaves):
+                self.branch[leaf], self.leaf[leaf], self.place[leaf] = k, len(self.words), np.arange(len(leaf))
+                self.words.append(small(q[leaf]))
+
+    @staticmethod
+    def _choice(guess: np.ndarray, options: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """Log of the softmax over the options (columns) at the one that was taken."""
+        if options.shape[1] == 1:
+            return np.zeros(len(guess), dtype=np.float32)
+        scores = guess @ options
+        if scores.max() > 60:
+            scores -= scores.max(axis=1, keepdims=True)
+        own = scores[np.arange(len(scores)), taken]
+        np.exp(scores, out=scores)
+        return own - np.log(scores.sum(axis=1))
+
+    def log10(self, before: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log10 probability of each token's word or suffix class."""
+        guess = self.model.guesses(before)
+        out = self._choice(guess, self.branches, self.branch[w]).astype(np.float64)
+        order = np.lexsort((self.leaf[w], self.branch[w]))
+        order = order[self.branch[w[order]] < len(self.leaves)]
+        sorted_w = w[order]
+        guess = guess[order]
+        found = np.zeros(len(order))
+        bounds = np.searchsorted(self.branch[sorted_w], np.arange(len(self.leaves) + 1))
+        for k, options in enumerate(self.leaves):
+            part = slice(bounds[k], bounds[k + 1])
+            if part.start < part.stop:
+                found[part] = self._choice(guess[part], options, self.leaf[sorted_w[part]] - self.first_leaf[k])
+        bounds = np.searchsorted(self.leaf[sorted_w], np.arange(len(self.words) + 1))
+        place = self.place[sorted_w]
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[k], bounds[k + 1])
+            found[part] += self._choice(guess[part], self.words[k], place[part])
+        out[order] += found
+        return out / math.log(10)
 
 
 @functools.lru_cache(maxsize=1)
-def _scorer(words: tuple, shares: bytes, flat: bytes) -> tuple[Model, Scorer]:
-    model = Model(list(words), np.frombuffer(shares)).with_vector(np.frombuffer(flat, dtype=np.float32))
-    return model, Scorer(model)
+def _scorer(flat: bytes, shares: bytes, start: int, words: int) -> Scorer:
+    return Scorer(Model(np.frombuffer(shares), start, DIM, np.frombuffer(flat, dtype=np.float32)), words)
+
+
+def asked_words(docs: DataFrame) -> DataFrame:
+    """Rows (block, word): each word of a suffix class once a block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: set[bytes] = set()
+        for rest in table.column("rest"):
+            found.update(rest.as_py().split(b"\n"))
+        found.discard(b"")
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+
+    return docs.select("block", "rest").groupBy("block").applyInArrow(run, "block int, word binary")
+
+
+def trained(docs: DataFrame, words: Lexicon) -> Model:
+    model = Model(words.shares, words[END])
+    for k in range(ROUNDS):
+        model = train(docs, model, k)
+    return model
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, vocab: int = VOCAB, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(id) mod folds isn't 0 (a null id counts as empty).  Null and empty texts are the
-    end token alone.  Equal texts of the same id get equal scores; other columns are ignored; an empty table gives no
-    rows.  With no training rows all counts are 0.
+    end token alone.  Equal texts get equal scores up to rounding; the order and the number of partitions of the rows
+    change nothing.  Other columns are ignored, whatever their names; an empty table gives no rows.  With no training
+    rows all counts are 0.
     """
     rows = _rows(docs, id_col, text_col, folds)
     counts = stored(token_counts(rows), "op4-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"])
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(vocab).collect()]
-    words = [w for w, _ in top]
-    rest, kinds = n - sum(c for _, c in top), v - len(top)
-    shares = np.array([c for _, c in top] + [rest + ALPHA * (kinds + 1)], dtype=np.float64)
-    model = train(rows, Model(words, shares / shares.sum()))
-    key = (tuple(words), model.shares.tobytes(), model.vector().astype(np.float32).tobytes())
-    base_size, rest_size = n + ALPHA * (v + 1), rest + ALPHA * (kinds + 1)
-
+    words = lexicon(counts, vocab)
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks)).cast("int")).repartition("block")
-
-    def own_words(table: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for raw in table.column("raw"):
-            found.update(tokens(raw.as_py()))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
-
-    asked = dealt.groupBy("block").applyInArrow(own_words, "block int, word binary")
-    told = asked.join(counts, "word").select("block", "word", "c")
+    dealt = encoded(rows, words, max(1, -(-size // block_bytes)))
+    model = trained(dealt, words)
+    key = (model.flat.tobytes(), model.shares.tobytes(), model.start, len(words))
+    base_size = n + ALPHA * (v + 1)
+    told = asked_words(dealt).join(counts, "word").select("block", "word", "c")
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        model, scorer = _scorer(*key)
+        scorer = _scorer(*key)
         c_of = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist()))
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+        table = table.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+        once = np.log10(np.concatenate((np.array(words.counts, dtype=np.float64), np.zeros(SUFFIXES))) + ALPHA)
+        of_class = np.log10(words.class_sizes)
+        known_words = np.array([*(c > 0 for c in words.counts), *[False] * SUFFIXES], dtype=np.int64)
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         texts: list[np.ndarray] = []
-        held: list[list[bytes]] = []
-        size = 0
+        rare: list[int] = []
+        held = 0
 
         def flush() -> None:
-            nonlocal texts, held, size
-            if not held:
+            nonlocal texts, rare, held
+            if not texts:
                 return
-            c = np.concatenate(texts)
+            before, w = contexts(texts, model.start)
             first = np.cumsum([0, *map(len, texts)])[:-1]
-            c1, c2, w = contexts([model.classes(x) for x in held], model.start)
-            one = np.log10(c + ALPHA)
-            drawn = np.where(w == len(model.words), one - math.log10(rest_size), 0.0)
-            lp = scorer.log10(c1, c2, w) + drawn
-            out["n_tokens"] += [len(x) for x in held]
-            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
-            out["base_score"] += (np.add.reduceat(one, first) - [len(x) * math.log10(base_size) for x in held]).tolist()
+            one = once[w]
+            outside = np.flatnonzero(w >= len(words))
+            counts_there = np.array(rare, dtype=np.float64)
+            one[outside] = np.log10(counts_there + ALPHA)
+            lp = scorer.log10(before, w)
+            lp[outside] += one[outside] - of_class[w[outside] - len(words)]
+            seen = known_words[w]
+            seen[outside] = counts_there > 0
+            out["n_tokens"] += [len(x) for x in texts]
+            out["n_known"] += np.add.reduceat(seen, first).tolist()
+            out["base_score"] += (np.add.reduceat(one, first) - [len(x) * math.log10(base_size) for x in texts]).tolist()
             out["score"] += np.add.reduceat(lp, first).tolist()
-            texts, held, size = [], [], 0
-
-        for raw in table.column("raw"):
-            words = tokens(raw.as_py())
-            get = c_of.get
-            texts.append(np.fromiter((get(x, 0) for x in words), dtype=np.int64, count=len(words)))
-            held.append(words)
-            size += len(words)
-            if size >= RUN:
+            texts, rare, held = [], [], 0
+
+        for ids, rest in zip(table.column("ids"), table.column("rest")):
+            texts.append(np.frombuffer(ids.as_buffer(), dtype=np.uint16))
+            if len(rest.as_buffer()):
+                rare += [c_of.get(x, 0) for x in rest.as_py().split(b"\n")]
+            held += len(texts[-1])
+            if held >= RUN:
                 flush()
         flush()
         done = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64())}
@@ -321,7 +485,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table(done | {k: pa.array(out[k], pa.float64()) for k in ("base_score", "score")})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    inputs = dealt.select("block", "doc_id", "digest", "held_out", "ids", "rest")
+    return inputs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,15 +143,19 @@ def test_hot_length_is_ranked_over_many_tasks(spark, monkeypatch):
 # --- LM scoring ---
 
 
+def brute_counts(rows):
+    counts, own = Counter(), []
+    for r in rows:
+        own.append([*(r[1] or "").encode().lower().split(), b"\n"])
+        if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10:
+            counts.update(own[-1])
+    return counts, own
+
+
 def test_base_scores(docs, rows, no_docs, monkeypatch):
     monkeypatch.setattr(op4, "HELD_WORDS", 50)
-    counts = Counter()
-    tokens = {}
-    for r in rows:
-        words = (r[1] or "").encode().lower().split()
-        tokens[r[0]] = [*words, b"\n"]
-        if zlib.crc32(str(r[0]).encode()) % 10:
-            counts.update(tokens[r[0]])
+    counts, own = brute_counts(rows)
+    tokens = dict(zip((r[0] for r in rows), own))
     n, v = sum(counts.values()), len(counts)
     got = op4.score_documents(docs, vocab=20, block_bytes=4000).collect()
     assert len(got) == len(rows)
@@ -163,29 +167,109 @@ def test_base_scores(docs, rows, no_docs, monkeypatch):
     assert op4.score_documents(no_docs).count() == 0
 
 
-def test_model_is_normalised_and_learns():
+def test_nothing_to_learn_and_odd_rows(spark):
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    table = spark.createDataFrame([(out[0], "a b a"), (out[1], None), (out[2], ""), (out[3], "w " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op4.score_documents(table).collect()}
+    assert {i: (r.n_tokens, r.n_known, r.train_tokens) for i, r in got.items()} == {out[0]: (4, 0, 0), out[1]: (1, 0, 0), out[2]: (1, 0, 0), out[3]: (300_001, 0, 0)}
+    assert all(np.isfinite([r.score, r.base_score]).all() for r in got.values())
+    rows = [(None, "x y z"), (1, "x y"), (1, "x y"), (1, "other words"), (2, "x\x0by z " * 50)]
+    table = spark.createDataFrame([(i, t, *"abcdefg") for i, t in rows], "doc_id long, text string, block string, part string, digest string, ids string, rest string, word string, raw string")
+    got = op4.score_documents(table).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "2", "None"] and len({r.score for r in got if r.doc_id == 1}) == 2
+
+
+def prose(n, seed=1):
+    """Texts in two made-up languages that share no words but a few."""
+    rng = np.random.default_rng(seed)
+    words = [[f"{a}{x}{k % 7}" for k, x in enumerate(rng.integers(0, 10**6, 400).tolist())] + ["of", "to"] for a in "xy"]
+    share = 1 / np.arange(1, 403)
+    return [(i, " ".join(words[i % 2][k] for k in rng.choice(402, 150, p=share / share.sum()))) for i in range(n)]
+
+
+def test_scores_beat_the_base_and_layouts_agree(spark):
+    table = spark.createDataFrame(prose(600), "doc_id long, text string")
+    two = {r.doc_id: r for r in op4.score_documents(table.repartition(2), block_bytes=300_000).collect()}
+    nine = {r.doc_id: r for r in op4.score_documents(table.orderBy("text").repartition(9), block_bytes=300_000).collect()}
+    assert all(abs(two[i].score - nine[i].score) < 1e-6 * abs(two[i].score) for i in two)
+    held = [r for r in two.values() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.15  # the language alone is worth 0.3 a token
+
+
+def small_model(n=40, words=33, seed=3):
+    rng = np.random.default_rng(seed)
+    shares = rng.random(n) ** 3 + 1e-3
+    model = op4.Model(shares / shares.sum(), 0)
+    for name in "rq":
+        model.parts[name][...] += rng.normal(0, 1, model.parts[name].shape)
+    return model, op4.Scorer(model, words)
+
+
+def test_probabilities_sum_to_one():
+    model, scorer = small_model()
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        before = np.repeat(rng.integers(0, 40, (op4.CONTEXT, 1)), 40, axis=1).astype(np.uint16)
+        lp = scorer.log10(before, np.arange(40, dtype=np.uint16))
+        assert abs((10**lp).sum() - 1) < 1e-5 and (lp < 0).all()
+
+
+def test_tree_probabilities_by_hand(monkeypatch):
+    monkeypatch.setattr(op4, "BRANCH_SPLITS", 1)
+    monkeypatch.setattr(op4, "LEAF_SPLITS", 2)
+    model, scorer = small_model()
+    q = model.parts["q"].astype(float)
+    before = np.random.default_rng(1).integers(0, 40, (op4.CONTEXT, 40)).astype(np.uint16)
+    guess = model.guesses(before).astype(float)
+    got = scorer.log10(before, np.arange(40, dtype=np.uint16))
+    weight = lambda rows, g: math.exp(g @ op4._pooled(q[rows]))
+    for w in range(40):
+        g = guess[w]
+        tops = [np.flatnonzero(scorer.branch == k) for k in range(len(scorer.leaves))]
+        leaves = [[np.flatnonzero((scorer.branch[:33] == k) & (scorer.leaf[:33] == j)) for j in sorted(set(scorer.leaf[t].tolist()))] for k, t in enumerate(tops)]
+        pool = lambda rows_of: op4._pooled(np.array([op4._pooled(q[x]) for x in rows_of]))
+        ways = [math.exp(g @ pool(x)) for x in leaves] + [math.exp(g @ q[k]) for k in range(33, 40)]
+        if w >= 33:
+            want = ways[len(tops) + w - 33] / sum(ways)
+        else:
+            k = int(scorer.branch[w])
+            leaf = next(x for x in leaves[k] if w in x)
+            want = ways[k] / sum(ways) * weight(leaf, g) / sum(weight(x, g) for x in leaves[k])
+            want *= math.exp(g @ q[w]) / sum(math.exp(g @ q[x]) for x in leaf)
+        assert abs(got[w] - math.log10(want)) < 1e-4
+
+
+def test_training_learns_what_follows_what():
     rng = np.random.default_rng(3)
-    words = [b"\n", b"a", b"b", b"c"]
     text = []
-    for _ in range(4000):  # a is followed by b, b by c
+    for _ in range(4000):  # 1 is followed by 2, 2 by 3
         text += [1, 2, 3] if rng.random() < 0.7 else [int(rng.integers(1, 5))]
-    w = np.array(text, dtype=np.int32)
-    shares = np.bincount(w, minlength=5) + 1.0
-    model = op4.Model(words, shares / shares.sum())
+    w = np.array(text, dtype=np.uint16)
+    shares = np.bincount(w, minlength=70) + 0.1
+    model = op4.Model(shares / shares.sum(), 0)
     trainer = op4.Trainer(model)
-    c1, c2, w = op4.contexts([w], model.start)
-    for at in range(0, len(w), 256):
-        trainer.fit(c1[at : at + 256], c2[at : at + 256], w[at : at + 256])
-    scorer = op4.Scorer(op4.Model(words, model.shares, trainer.parts))
-    for x in range(5):
-        for y in range(5):
-            assert abs(sum(10 ** scorer.log10(np.array([x]), np.array([y]), np.array([k]))[0] for k in range(5)) - 1) < 1e-9
-    assert scorer.log10(c1, c2, w).mean() > np.log10(model.shares[w]).mean() + 0.1
+    for _ in range(3):
+        trainer.fit([w])
+    before, w = op4.contexts([w], 0)
+    gain = op4.Scorer(trainer.model, 6).log10(before, w).mean() - np.log10(model.shares[w]).mean()
+    assert gain > 0.15
 
 
 def test_contexts():
-    c1, c2, w = op4.contexts([np.array([5, 6, 7]), np.array([8]), np.array([9, 10])], 0)
-    assert (c1.tolist(), c2.tolist(), w.tolist()) == ([0, 5, 6, 0, 0, 9], [0, 0, 5, 0, 0, 0], [5, 6, 7, 8, 9, 10])
+    before, w = op4.contexts([np.array([5, 6, 7]), np.array([8]), np.array([9, 10])], 0)
+    assert w.tolist() == [5, 6, 7, 8, 9, 10]
+    assert before[:3].tolist() == [[0, 5, 6, 0, 0, 9], [0, 0, 5, 0, 0, 0], [0, 0, 0, 0, 0, 0]]
+
+
+def test_sums_of_parameters_are_whole_numbers():
+    import pyarrow as pa
+
+    rows = [(k % 2, 1, np.array([k * 10**9, -k]) if k else np.array([5, 5])) for k in range(7)]
+    batches = [pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "n": [n], "sums": pa.array([op4._packed(x)], pa.binary())}) for k, n, x in rows]
+    (got,) = op4._added(iter(batches), [2, 2])
+    read = [np.frombuffer(x, dtype=np.int32 if len(x) == 8 else np.int64).tolist() for x in got.column(2).to_pylist()]
+    assert dict(zip(got.column(0).to_pylist(), read)) == {0: [5 + 12 * 10**9, 5 - 12], 1: [9 * 10**9, -9]} and got.column(1).to_pylist() == [4, 3]
 
 
 # --- SentencePiece ---
