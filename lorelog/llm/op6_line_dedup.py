@@ -13,7 +13,6 @@ document without such lines passes straight through, but for one in 16 that a bi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -21,8 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import BLANKS, array_bits, bit_pages, drop_stored, join_by_class, lower_ascii, stored, unused, whole_text, with_bit
-from lorelog.storage import shared_root
+from lorelog.llm.common import BLANKS, array_bits, bit_pages, bucketed, drop_bucketed, drop_stored, join_by_class, lower_ascii, stored, unused, whole_text, with_bit
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -34,14 +32,14 @@ ID_BITS = 1 << 28
 NO_ID = -(2**63)
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
-
-
 def line_digest(line: Column, min_chars: int = MIN_CHARS) -> Column:
-    """MD5 of the key in digits (128 bits, so that equal digests mean equal keys at any size); null for short keys."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.md5(key))
+    """MD5 of the key in digits (128 bits, so that equal digests mean equal keys at any size); null for short keys.
+
+    The key is the line without blanks at both ends, A-Z lower-cased, which changes no length.  In ASCII that is lower().
+    """
+    trimmed = F.btrim(line, F.lit(BLANKS))
+    key = F.when(F.octet_length(line) == F.char_length(line), F.lower(trimmed)).otherwise(lower_ascii(trimmed))
+    return F.when(F.char_length(line) >= min_chars, F.when(F.char_length(trimmed) >= min_chars, F.md5(key)))
 
 
 @contextmanager
@@ -61,28 +59,15 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
-        self.paths: dict[str, str] = {}
+        self.levels: list[list[DataFrame]] = []
 
-    def runs(self) -> list[str]:
+    def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def read(self, run: str) -> DataFrame:
-        return self.spark.table(run).select("hash", "n_docs", "holder").hint("merge")
-
-    def _written(self, rows: DataFrame) -> str:
-        """The rows, which are dealt by hash, as a run of one sorted file a bucket."""
-        run = f"lorelog_run_{uuid.uuid4().hex}"
-        self.paths[run] = f"{shared_root(self.spark).rstrip('/')}/lorelog/{run}"
-        with _sorted_buckets(self.spark):
-            rows.write.option("path", self.paths[run]).option("compression", "zstd").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(run)
-        return run
-
-    def drop(self, run: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(run))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    @staticmethod
+    def _written(rows: DataFrame) -> DataFrame:
+        with _sorted_buckets(rows.sparkSession):
+            return bucketed(rows, "run", "hash", dealt=True)
 
     def anti_joined(self, batch: DataFrame) -> DataFrame:
         """One row per hash of the batch's (id, hash): n_docs, and holder where no run has the hash."""
@@ -90,7 +75,7 @@ class LineRuns:
         known = F.lit(False)
         for k, run in enumerate(self.runs()):
             # a run of a merged level has a holder for each hash; one that was added later may not
-            own = own.join(self.read(run).select("hash", F.col("n_docs").alias(f"n{k}")), "hash", "left")
+            own = own.join(run.hint("merge").select("hash", F.col("n_docs").alias(f"n{k}")), "hash", "left")
             known = known | F.col(f"n{k}").isNotNull()
         return own.select("hash", "n_docs", F.when(~known, F.col("holder")).alias("holder"))
 
@@ -98,7 +83,7 @@ class LineRuns:
         """Adds the batch's (id, hash), one row per document and hash."""
         self._push(self._written(self.anti_joined(batch)), 0)
 
-    def _push(self, run: str, level: int) -> None:
+    def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -106,21 +91,22 @@ class LineRuns:
             old, self.levels[level] = self.levels[level], []
             merged = self._written(self.merge(old))
             for run in old:
-                self.drop(run)
+                drop_bucketed(run)
             self._push(merged, level + 1)
 
-    def merge(self, runs: list[str]) -> DataFrame:
+    @staticmethod
+    def merge(runs: list[DataFrame]) -> DataFrame:
         def two(a: DataFrame, b: DataFrame) -> DataFrame:
-            b = b.select("hash", F.col("n_docs").alias("n2"), F.col("holder").alias("h2"))
+            b = b.hint("merge").select("hash", F.col("n_docs").alias("n2"), F.col("holder").alias("h2"))
             both = a.join(b, "hash", "full")
             counts = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))
             return both.select("hash", counts.alias("n_docs"), F.greatest("holder", "h2").alias("holder"))
 
-        return reduce(two, map(self.read, runs))
+        return reduce(two, runs)
 
     def close(self) -> None:
         for run in self.runs():
-            self.drop(run)
+            drop_bucketed(run)
         self.levels = []
 
 
@@ -190,7 +176,8 @@ def dedup_lines(
     rows = with_bit(rows.withColumn(slot, place(own, digest)), pages, slot, hit)
     passing = rows.filter(~F.col(hit)).withColumn(n_lines, (F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long"))
     passing = passing.withColumn(n_dropped, F.lit(0).cast("long")).withColumn(text_col, F.col(text))
-    met = rows.filter(F.col(hit)).alias("r").join(drops.alias("d"), (F.col(f"r.{own}") == F.col("d.id")) & (F.col(f"r.{digest}") == F.col("d.digest")), "left")
+    # what drops has grows with the input, so it is never broadcast
+    met = rows.filter(F.col(hit)).alias("r").join(drops.hint("merge").alias("d"), (F.col(f"r.{own}") == F.col("d.id")) & (F.col(f"r.{digest}") == F.col("d.digest")), "left")
     whole = F.inline(F.array(F.struct(F.split(F.col(f"r.{text}"), "\n").alias(lines), F.coalesce("d.places", F.array().cast("array<int>")).alias(slot))))
     met = met.select(*(F.col(f"r.`{c}`") for c in docs.columns), whole)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(slot)), lambda i: F.get(lines, i))

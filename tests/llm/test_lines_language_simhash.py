@@ -84,6 +84,7 @@ def test_runs_are_merged_where_they_lie(spark):
     plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
     with op6._sorted_buckets(spark):
         merge, join = plan(runs.merge(runs.runs())), plan(runs.anti_joined(lines))
+    assert all(len([f for f in run.inputFiles()]) <= 4 for run in runs.runs())  # a bucket is one file
     assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge
     assert join.count("SortMergeJoin") == 2 and join.count("Exchange") == 1 and join.count("Sort [") == 1  # those of the batch
     runs.close()
