@@ -1,9 +1,10 @@
-"""Media columns: lossless WebP (VP8L) images in a binary column, written and read by this module.
+"""Media columns: lossless WebP (VP8L) images in a binary column, written and read by this subpackage.
 
-The reader is general: prefix codes (simple and normal, several groups), back-references, colour cache, and the
-inverse of all four transforms (predictor, cross-colour, subtract green, palette).  Streams whose codes all have
-one length per channel and no copies, as ``encode`` with ``coding="level"`` writes, are read by numpy in one go;
-any other stream symbol by symbol.
+A text's bytes are RGBA pixels, WIDTH a row and at most ROWS rows an image; a longer text takes several images, one
+container behind the other.  Images are written and read many at a time by ``webp_batch``, with prefix codes,
+back-references, colour caches, and predictor, cross-colour, subtract-green and palette transforms as each image's bytes
+decide.  This module has a general reader for one stream (several groups of codes, and codes of any length, too), which
+takes what the batch reader leaves, and a writer with every option, for tests.
 
 Format: the public specification "WebP Lossless Bitstream" and the RIFF container.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorelog.llm import webp_batch
+from lorelog.llm.op7_format import CACHE_FACTOR, CROSS_COLOUR, DISTANCES, LENGTH_ORDER, LENGTHS, LITERALS, NEAR_PLACES, PALETTE, PREDICTOR, SUBTRACT_GREEN, bundle_bits
+
 UNIT = 576
 WIDTH = UNIT // 4
 MAX_SIDE = 1 << 14
-
-# --- fixed values of the format -------------------------------------------------------------------------
-LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-LITERALS, LENGTHS, DISTANCES = 256, 24, 40
-PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-CACHE_FACTOR = 0x1E35A7BD
-#: Short distances: row offset in the high nibble, 8 less the column offset in the low one.
-NEAR_PLACES = bytes.fromhex(
-    "180717192806272916 1a262a380537391 51b363a252b480447 49141c353b464a242c58454b343c035759131d565a232d444c555b333d68"
-    "026769121e666a222e545c434d656b323e78017779535d111f646c424e767a212f757b313f636d525e00747c414f1020626e30737d515f40727e616f50717f6070".replace(" ", "")
-)
-# ---------------------------------------------------------------------------------------------------------
+ROWS = 16
+#: Bytes of texts, and of stored media, that are written or read together.
+RUN_BYTES = 8 << 20
 
 
 class BitReader:
@@ -184,8 +180,8 @@ def _value(bits: BitReader, prefix: int) -> int:
 def _distance(value: int, width: int) -> int:
     if value > len(NEAR_PLACES):
         return value - len(NEAR_PLACES)
-    place = NEAR_PLACES[value - 1]
-    return max(1, (place >> 4) * width + 8 - (place & 15))
+    left, up = NEAR_PLACES[value - 1]
+    return max(1, up * width + left)
 
 
 def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -311,10 +307,6 @@ def _cross_colour(argb: np.ndarray, factors: np.ndarray, block: int, inverse: bo
     return out
 
 
-def _bundle(colours: int) -> int:
-    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
-
-
 def decode_stream(data: bytes) -> np.ndarray:
     """A VP8L stream (from its signature byte): pixels (height, width, 4) of red, green, blue, alpha."""
     bits = BitReader(data)
@@ -338,8 +330,8 @@ def decode_stream(data: bytes) -> np.ndarray:
         elif kind == PALETTE:
             size = bits.read(8) + 1
             table = np.cumsum(_channels(_read_pixels(bits, size, 1, False)), axis=0) & 255
-            undo.append((kind, _bundle(size), table, inner))
-            inner = -(-inner >> _bundle(size))
+            undo.append((kind, bundle_bits(size), table, inner))
+            inner = -(-inner >> bundle_bits(size))
         else:
             undo.append((kind, 0, None, inner))
     pixels = _read_pixels(bits, inner, height, True)
@@ -364,18 +356,26 @@ def decode_stream(data: bytes) -> np.ndarray:
     return argb[..., [1, 2, 3, 0]].astype(np.uint8)
 
 
-def decode(media: bytes) -> Iterator[np.ndarray]:
-    """The images of one or more RIFF containers, one behind the other."""
+def streams_of(media: bytes) -> Iterator[bytes]:
+    """The lossless streams in one or more RIFF containers, one behind the other."""
     at = 0
     while at < len(media):
         if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 16] != b"WEBPVP8L":
             raise ValueError("not a lossless WebP file")
         size = int.from_bytes(media[at + 4 : at + 8], "little")
         chunk = int.from_bytes(media[at + 16 : at + 20], "little")
-        yield decode_stream(media[at + 20 : at + 20 + chunk])
+        yield media[at + 20 : at + 20 + chunk]
         at += 8 + size
 
 
+def decode_media(media: list[bytes], used: Counter | None = None) -> list[list[np.ndarray]]:
+    """The images of each value of the column: pixels (height, width, 4) of red, green, blue, alpha."""
+    streams = [list(streams_of(x)) for x in media]
+    flat = [s for own in streams for s in own]
+    found = iter([decode_stream(s) if x is None else x for s, x in zip(flat, webp_batch.decode_streams(flat, used))])
+    return [[next(found) for _ in own] for own in streams]
+
+
 # --- writer ----------------------------------------------------------------------------------------------
 
 
@@ -601,7 +601,7 @@ def encode_stream(
             out.write(len(table) - 1, 8)
             cells = _channels(table)
             _write_pixels(out, _packed(np.diff(cells, axis=0, prepend=0)), len(table), False)
-            bundle = _bundle(len(table))
+            bundle = bundle_bits(len(table))
             per, wide = 8 >> bundle, -(-width >> bundle)
             padded = np.zeros((height, wide << bundle), dtype=np.int32)
             padded[:, :width] = index
@@ -625,10 +625,30 @@ def pad_payload(raw: bytes) -> bytes:
     return raw + b"\xff" * ((-len(raw)) % UNIT or (0 if raw else UNIT))
 
 
-def store_payload(payload: bytes) -> bytes:
-    """The payload as RGBA pixels, WIDTH a row; over 16,384 rows it takes further images."""
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(container(encode_stream(rows[at : at + MAX_SIDE])) for at in range(0, len(rows), MAX_SIDE))
+def store_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Each payload as RGBA pixels, WIDTH a row; over ROWS rows it takes further images."""
+    images, counts = [], []
+    for payload in payloads:
+        rgba = np.frombuffer(payload, dtype="<u4").reshape(-1, WIDTH)
+        # red and blue change places: the bytes are red, green, blue, alpha
+        argb = rgba & np.uint32(0xFF00FF00) | rgba >> np.uint32(16) & np.uint32(255) | (rgba & np.uint32(255)) << np.uint32(16)
+        own = [argb[at : at + ROWS] for at in range(0, len(argb), ROWS)]
+        images += own
+        counts.append(len(own))
+    found = iter(webp_batch.encode_streams(images))
+    return [b"".join(container(next(found)) for _ in range(n)) for n in counts]
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, values) of a batch, a bounded number of bytes at a time but for single larger values."""
+    at = 0
+    while at < len(column):
+        size, some = 0, []
+        while at + len(some) < len(column) and (not some or size < RUN_BYTES):
+            some.append(column[at + len(some)].as_py())
+            size += len(some[-1] or b"")
+        yield at, some
+        at += len(some)
 
 
 def pixel_features(images: list[np.ndarray]) -> str:
@@ -643,17 +663,16 @@ def pixel_features(images: list[np.ndarray]) -> str:
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, media): each text's UTF-8 bytes, padded with 255 to a multiple of 576, as WebP.
 
-    Null and empty texts are one unit of 255.  Equal texts give equal media; other columns are ignored.
+    Null and empty texts are one unit of 255; a text of any length is stored whole.  Equal texts give equal media, a row
+    each where rows are repeated; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                raws = part.column(1).to_pylist()
-                media = [store_payload(pad_payload(x)) for x in raws]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for at, raws in _runs(batch.column(1)):
+                media = store_payloads([pad_payload(x) for x in raws])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raws)), pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -663,11 +682,12 @@ def read_pixels(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                images = list(decode(data or b""))
-                arrays = [[doc_id] * len(images), [x.shape[1] for x in images], [x.shape[0] for x in images], [x.tobytes() for x in images]]
+            for at, values in _runs(batch.column(1)):
+                ids = batch.column(0).slice(at, len(values)).to_pylist()
+                rows = [(doc_id, x.shape[1], x.shape[0], x.tobytes()) for doc_id, images in zip(ids, decode_media([v or b"" for v in values])) for x in images]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds)], ["doc_id", "width", "height", "pixels"])
+                columns = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(columns, kinds)], ["doc_id", "width", "height", "pixels"])
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, width int, height int, pixels binary")
 
@@ -679,18 +699,16 @@ def media_digest(media: DataFrame) -> DataFrame:
     """What the contract asks of each stored form, all from the bytes read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in DIGEST.split(", ")]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, values in _runs(batch.column(2)):
                 rows = []
-                for data in part.column(2).to_pylist():
-                    images = list(decode(data))
+                for data, images in zip(values, decode_media(values)):
                     payload = b"".join(x.tobytes() for x in images)
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), pixel_features(images)))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = [x.split()[0] for x in DIGEST.split(", ")]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+                columns = [batch.column(c).slice(at, len(values)) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names)
 
     return media.mapInArrow(run, DIGEST)
 

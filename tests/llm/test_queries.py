@@ -80,10 +80,29 @@ def test_op5(spark):
 
 
 def test_op7(spark, texts):
-    for r in rows(spark, "op7_media_columns"):
-        raw = (texts[r.doc_id] or "").encode()
+    """Every column from the text alone, but for the stored bytes, which are read back by the general reader."""
+    from collections import Counter
+
+    import numpy as np
+
+    from lorelog.llm import op7_media_columns as op7
+
+    used = Counter()
+    got = {r.doc_id: r for r in rows(spark, "op7_media_columns")}
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    media = {r.doc_id: bytes(r.media) for r in op7.write_media(table).collect()}
+    op7.decode_media(list(media.values()), used)
+    assert set(used) >= {"cache", "copy", "predictor", "cross-colour", "subtract-green"}
+    for i, text in texts.items():
+        raw, r, own = (text or "").encode(), got[i], media[i]
         payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(own), hashlib.sha256(own).hexdigest())
+        pixels = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 4)
+        modes = ",".join(str(np.bincount(pixels[:, c]).argmax()) for c in range(4))
+        assert r.feature == f"w=144;h={len(payload) // 576};min={min(payload)};max={max(payload)};values={len(set(payload))};modes={modes}"
+    for own, text in list(zip(media.values(), (texts[i] for i in media)))[:25]:
+        assert b"".join(op7.decode_stream(s).tobytes() for s in op7.streams_of(own)).startswith((text or "").encode())
 
 
 def test_op9(spark, texts):
