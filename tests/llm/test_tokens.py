@@ -152,8 +152,23 @@ def brute_counts(rows):
     return counts, own
 
 
+def test_words_and_their_numbers():
+    import pyarrow as pa
+
+    texts = ["", " ", "A b\tB \x0b\x0cé É  ", "\n x", "no blanks", "a\x1cb a\u00a0b", "  A " * 3]
+    words, sizes = op4.words_of(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for own in want for w in own] and sizes.tolist() == list(map(len, want))
+    lexicon = op4.Lexicon([b"\n", b"a", b"b"], [5, 3, 2], [0] * op4.SUFFIXES, [0] * op4.SUFFIXES)
+    numbers, rest = lexicon.numbers(pa.array(texts))
+    number = lambda w: lexicon.words.index(w) if w in lexicon.words else 3 + int.from_bytes(w[-3:], "big") % op4.SUFFIXES
+    assert [np.frombuffer(x, dtype=np.uint16).tolist() for x in numbers.to_pylist()] == [[*map(number, own), 0] for own in want]
+    assert rest.to_pylist() == [b"\n".join(w for w in own if w not in lexicon.words) or None for own in want]
+
+
 def test_base_scores(docs, rows, no_docs, monkeypatch):
-    monkeypatch.setattr(op4, "HELD_WORDS", 50)
+    monkeypatch.setattr(op4, "CUT_BYTES", 900)
+    monkeypatch.setattr(op4, "RUN", 70)
     counts, own = brute_counts(rows)
     tokens = dict(zip((r[0] for r in rows), own))
     n, v = sum(counts.values()), len(counts)
@@ -250,15 +265,14 @@ def test_training_learns_what_follows_what():
     model = op4.Model(shares / shares.sum(), 0)
     trainer = op4.Trainer(model)
     for _ in range(3):
-        trainer.fit([w])
-    before, w = op4.contexts([w], 0)
+        trainer.fit(w, np.array([len(w)]))
+    before = op4.contexts(w, np.array([len(w)]), 0)
     gain = op4.Scorer(trainer.model, 6).log10(before, w).mean() - np.log10(model.shares[w]).mean()
     assert gain > 0.15
 
 
 def test_contexts():
-    before, w = op4.contexts([np.array([5, 6, 7]), np.array([8]), np.array([9, 10])], 0)
-    assert w.tolist() == [5, 6, 7, 8, 9, 10]
+    before = op4.contexts(np.array([5, 6, 7, 8, 9, 10]), np.array([3, 1, 2]), 0)
     assert before[:3].tolist() == [[0, 5, 6, 0, 0, 9], [0, 0, 5, 0, 0, 0], [0, 0, 0, 0, 0, 0]]
 
 
