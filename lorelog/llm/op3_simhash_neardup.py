@@ -6,8 +6,10 @@ only the tiles whose counts are that near; the other tile pairs are skipped, and
 tiles is compared by numpy exclusive-or and bit counts and gives the links that join something, at most one less
 than its rows, never all pairs of a group.  Components of the links are found by distributed star contraction.
 
-With four segments a tile meets 41 of up to 83,521 kinds of tile (about 1.6 % of all pairs); the work still grows
-with the square of the number of different fingerprints, which is the nature of the method.
+With four segments a tile meets 41 of up to 83,521 kinds of tile (about 1.6 % of all pairs).  For more fingerprints the
+segments are more and narrower (``segments_for``), so that a tile stays about as full and meets a smaller part of the
+others; no link is lost with any number of them.  Sets of shingles have a size besides: sets of a similarity s have
+sizes within a factor of s, so a tile of sets meets only the tiles of its own and the neighbouring classes of size.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import components, join_by_class, stored
+from lorelog.llm.common import components, join_by_class, stored, unused
 
 SHINGLE = 3
 RADIUS = 2
-SEGMENTS = 4
+#: (fingerprints, segments): with more fingerprints, more segments.
+SEGMENTS = ((0, 4), (1 << 22, 8), (1 << 28, 16))
 TILE = 4096
 SEED = 42
 #: Bytes of a text that are split into words at a time.
@@ -114,10 +117,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int
     return rows.mapInArrow(run, "doc_id long, fp binary")
 
 
+def segments_for(n: int) -> int:
+    return max(segments for least, segments in SEGMENTS if n >= least)
+
+
 def _half_offsets(segments: int, reach: int) -> list[list[int]]:
     """Zero, and one of each pair of opposite offsets, of the vectors with a sum of sizes up to reach."""
-    near = [v for v in product(range(-reach, reach + 1), repeat=segments) if sum(map(abs, v)) <= reach]
-    return [list(v) for v in near if v >= tuple([0] * segments)]
+    near = [((), 0)]
+    for _ in range(segments):
+        near = [((*v, x), used + abs(x)) for v, used in near for x in range(used - reach, reach - used + 1)]
+    return [list(v) for v, _ in near if v >= (0,) * segments]
 
 
 def _tile_arrays(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +183,11 @@ def tile_links(
                 label[np.isin(label, kinds[new])] = mine
 
 
-def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int, sieve: int, sieve_words: int = 1) -> DataFrame:
+def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int, sieve: int, sieve_words: int = 1, similarity: float | None = None) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints are within radius; classes: (fp, node), fps differ.
 
-    Bytes of fp beyond ``words`` words only tell classes apart.
+    Bytes of fp beyond ``words`` words only tell classes apart.  With ``similarity`` and a column ``members``, the sizes of
+    the sets, nodes whose sizes are too different for it are not compared.
     """
     width = 64 * words // segments
     step = 1 if segments > 1 else radius + 1  # one segment: counts are dealt into strips as wide as the reach
@@ -189,13 +199,19 @@ def links(classes: DataFrame, words: int, radius: int, segments: int, tile: int,
         sum((F.bit_count(F.conv(F.substring(digits, 1 + s * nibbles + c, min(8, nibbles)), 16, 10).cast("long")) for c in range(0, nibbles, 8)), F.lit(0))
         for s in range(segments)
     ]
-    keyed = classes.select("fp", "node", F.array(*(F.floor(c / step).cast("int") for c in counts)).alias("key"))
+    counts = [F.floor(c / step).cast("int") for c in counts]
+    if similarity:  # a class of size spans a factor of the similarity, with room for rounding
+        counts.append(F.floor(F.log(F.greatest("members", F.lit(1)).cast("double")) / -math.log(similarity - 1e-6)).cast("int"))
+    keyed = classes.select("fp", "node", F.array(*counts).alias("key"))
     keyed = stored(keyed, "op3-keys")
     # at most (width + 1) ** segments keys, whatever the number of rows
     kinds = stored(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks")), "op3-kinds")
     dealt = keyed.join(F.broadcast(kinds), "key").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("chunks")).cast("int"))
     tiles = stored(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("fp", "node")).alias("rows")), "op3-tiles")
-    offsets = F.lit(_half_offsets(segments, reach)) if segments > 1 else F.array(F.array(F.lit(0)), F.array(F.lit(1)))
+    offsets = _half_offsets(segments, reach)
+    if similarity:
+        offsets = [[*v, size] for v in product(range(-reach, reach + 1), repeat=segments) if sum(map(abs, v)) <= reach for size in (-1, 0, 1) if (*v, size) >= (0,) * (segments + 1)]
+    offsets = F.array(*(F.array(*map(F.lit, v)) for v in offsets))
     guests = tiles.select(F.col("key").alias("own"), F.col("chunk").alias("own_chunk"), F.col("rows").alias("guest"), F.explode(offsets).alias("offset"))
     guests = guests.withColumn("key", F.zip_with("own", "offset", lambda x, y: x + y)).join(F.broadcast(kinds), "key")
     same = F.col("key") == F.col("own")
@@ -255,7 +271,7 @@ def near_components(
     k: int = SHINGLE,
     words: int = 1,
     radius: int = RADIUS,
-    segments: int = SEGMENTS,
+    segments: int | None = None,
     tile: int = TILE,
     sieve: int | None = None,
 ) -> DataFrame:
@@ -269,7 +285,7 @@ def near_components(
     known = prints.filter(F.col("doc_id").isNotNull())
     classes = stored(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "op3-classes")
     total = prints.count()
-    found = links(classes, words, radius, segments, tile, radius if sieve is None else sieve)
+    found = links(classes, words, radius, segments or segments_for(total), tile, radius if sieve is None else sieve)
     # an id that stands in several classes joins them
     twice = known.groupBy("doc_id").agg(F.count_distinct("fp").alias("fps")).filter("fps > 1").select("doc_id")
     again = known.join(twice, "doc_id").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -298,7 +314,7 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int, whole: bool = False) -> DataFrame:
-    """Rows (doc_id, fp), with ``whole`` also the set: fp has ``words`` words of fingerprint and two of the set's digest.
+    """Rows (doc_id, fp, members), with ``whole`` also the set: fp has ``words`` words of fingerprint and two of the set's digest.
 
     Each different shingle counts once, as the similarity is one of sets.
     """
@@ -308,16 +324,17 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, k: int, words: int,
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets, prints = [], []
+                sets, prints, sizes = [], [], []
                 for raw in part.column(1):
                     hashes = shingle_set(raw.as_py(), k)
+                    sizes.append(len(hashes))
                     prints.append(_majority([hashes], words) + xxhash.xxh3_128_digest(hashes.tobytes()))
                     if whole:
                         sets.append(hashes.tobytes())
-                arrays = [part.column(0), pa.array(prints, pa.binary())] + ([pa.array(sets, pa.binary())] if whole else [])
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "set"][: len(arrays)])
+                arrays = [part.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64())] + ([pa.array(sets, pa.binary())] if whole else [])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "members", "set"][: len(arrays)])
 
-    return rows.mapInArrow(run, "doc_id long, fp binary" + (", set binary" if whole else ""))
+    return rows.mapInArrow(run, "doc_id long, fp binary, members long" + (", set binary" if whole else ""))
 
 
 def sure_links(sets: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -359,27 +376,43 @@ def sure_links(sets: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, words: int = 16, tile: int = 8192) -> DataFrame:
-    """The documents with all their columns, one (the smallest id) of each group of near copies.
-
-    Near means a Jaccard similarity of at least ``similarity`` between sets of k-word shingles.  Fingerprints of 64 *
-    words bits name the candidates (a near pair is missed with a chance of a few in a million), and the candidates'
-    shingle sets, made again from their texts, decide.  Rows without an id stay.
+    """The documents with all their columns, one row (of the smallest id) of each group of near copies.
+
+    Near means a Jaccard similarity of at least ``similarity`` between sets of k-word shingles; texts without a word are
+    alike.  Fingerprints of 64 * words bits name the candidates (a near pair is missed with a chance of a few in a
+    million), and the candidates' shingle sets, made again from their texts, decide.  Rows that share an id are one
+    document: they join the groups of all their texts, and of the id that stays one row stays (that of the least text
+    hash; any one of equal rows).  Rows without an id stay.  Other columns pass through, whatever their names; an empty
+    table gives no rows.
     """
-    radius, sieve = wide_radius(similarity, words)
+    node, gone_id, digest, least = unused(docs.columns, "node", "gone_id", "digest", "least")
+    own_id = F.col(id_col).cast("long")
     prints = stored(set_prints(docs, id_col, text_col, k, words).filter("doc_id is not null"), "op3-prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "op3-classes")
-    maybe = stored(components(links(classes.select("fp", "node"), words, radius, 1, tile, sieve, SIEVE_WORDS), "op3-links"), "op3-maybe")
-    texts = docs.join(maybe.select(F.col("node").alias("__node")), F.col(id_col).cast("long") == F.col("__node"), "left_semi")
+    total = prints.count()
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"), F.first("members").alias("members"))
+    classes = stored(classes, "op3-classes")
+    radius, sieve = wide_radius(similarity, words)
+    found = links(classes.select("fp", "node", "members"), words, radius, 1, tile, sieve, SIEVE_WORDS, similarity)
+    maybe = stored(components(found, "op3-links"), "op3-maybe")
+    texts = docs.join(maybe.select(F.col("node").alias(node)), own_id == F.col(node), "left_semi")
     sets = set_prints(texts, id_col, text_col, k, words, True).withColumnRenamed("doc_id", "node").join(maybe, "node")
     sets = stored(sets, "op3-sets")
     # an id that stands in several classes joins them
-    twice = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("fps")).filter("fps > 1").select("doc_id")
-    again = prints.join(twice, "doc_id").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    rows_of = stored(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fp").alias("fps")).filter("rows > 1"), "op3-repeats")
+    again = prints.join(rows_of.filter("fps > 1").select("doc_id"), "doc_id").distinct().join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(sure_links(sets, words, similarity).unionByName(again), "op3-links")
     named = classes.join(joined, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
-    found = join_by_class(prints, stored(named, "op3-named"), "fp", "size", prints.count(), "inner")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    found = join_by_class(prints, stored(named, "op3-named"), "fp", "size", total, "inner")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, own_id == F.col(gone_id), "left_anti")
+    repeated = rows_of.select(F.col("doc_id").alias(gone_id))
+    if rows_of.isEmpty():
+        return kept
+    single = kept.join(repeated, own_id == F.col(gone_id), "left_anti")
+    several = kept.join(repeated, own_id == F.col(gone_id), "left_semi").withColumn(digest, F.xxhash64(text_col))
+    first = several.groupBy(F.col(id_col).alias(gone_id)).agg(F.min(digest).alias(least))
+    first = several.join(first, (F.col(id_col) == F.col(gone_id)) & (F.col(digest) == F.col(least))).dropDuplicates([id_col])
+    return single.unionByName(first.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

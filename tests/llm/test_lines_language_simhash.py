@@ -225,6 +225,28 @@ def test_simhash_of_long_and_odd_texts(spark, no_docs, monkeypatch):
     assert got == {(None, None), (5, 4), (4, 4), (7, 6), (6, 6)}
 
 
+def test_any_number_of_segments_gives_the_same_links(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = sorted({int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 64, (6, 2))})
+    classes = spark.createDataFrame([(x.to_bytes(8, "little"), i) for i, x in enumerate(fps)], "fp binary, node long")
+    want = brute_components(dict(enumerate(fps)), 2)
+    for segments in (1, 4, 8, 16):
+        got = {r.node: r.component for r in components(op3.links(classes, 1, 2, segments, 16, 2)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+    assert [op3.segments_for(n) for n in (0, 10**6, 10**7, 10**9)] == [4, 4, 8, 16]
+
+
+def test_one_row_of_each_group_stays(spark, no_docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "t u"), (1, "t u"), (2, "T  u"), (None, "t u"), (None, "t u"), (5, text), (6, text + " more"), (6, "other words here"), (7, "other words here"), (8, None), (9, ""), (10, " "), (11, "x " * 200_000), (12, "x " * 300_000)]
+    table = spark.createDataFrame([(i, t, "a", "b", "c", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, GONE_ID string, digest string, least int").repartition(3)
+    left = op3.one_of_each(table)
+    assert left.columns == table.columns
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in left.collect()) == sorted([("1", "t u"), ("None", "t u"), ("None", "t u"), ("5", text[:9]), ("8", ""), ("11", "x x x x x")])
+    assert op3.one_of_each(no_docs).count() == 0
+
+
 def test_wide_prints_find_near_copies(spark):
     rng = np.random.default_rng(0)
     texts = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(20)]
