@@ -103,6 +103,18 @@ class Config:
             out = replace(out, **{key: value})
         return out, warnings
 
+    def shown(self) -> dict:
+        """The configuration as a report shows it: addresses never; names, and entries that name authors, not when anonymised.
+
+        What is hidden stands as a reference, the first digits of its digest.
+        """
+        hide = lambda x: "ref:" + hashlib.sha256(x.strip().lower().encode()).hexdigest()[:16]
+        person = lambda x: hide(x) if self.anonymize or "@" in x else x
+        out = asdict(self)
+        out["identities"] = [[hide(address), person(name), [hide(x) for x in others]] for address, name, others in self.identities]
+        out["exclude_authors"] = [x if x in EXCLUDED_AUTHORS else person(x) for x in self.exclude_authors]
+        return out
+
     def digest(self) -> str:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 

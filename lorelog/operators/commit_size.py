@@ -30,6 +30,46 @@ def bucket(lines: Column) -> Column:
     return out
 
 
+def cells(sized: DataFrame, threshold: int, who: str = "id", year: str = "year") -> DataFrame:
+    """The additive form: commits per identity, year and (lines, files, bulk), with their added lines.
+
+    Sums, means and percentiles of any scope are those of its cells, see ``profile_of_cells``.
+    """
+    return sized.groupBy(F.col(who).alias("id"), F.col(year).alias("year"), "lines", "files", (F.col("lines") > threshold).alias("bulk")).agg(
+        F.count(F.lit(1)).alias("commits"), F.sum("added").cast("long").alias("added")
+    )
+
+
+def profile_of_cells(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The figures of ``profile`` from cells: every sum is weighed by the cell's commits."""
+    ok, n = ~F.col("bulk"), F.col("commits")
+    total = F.sum(F.when(ok, n).otherwise(0))
+    part = lambda test: F.sum(F.when(ok & test, n).otherwise(0))
+    summed = lambda x: F.sum(F.when(ok, F.col(x) * n).otherwise(0))
+    # an exact percentile with frequencies; below, 0.9 by nearest rank is the least value whose running count reaches it
+    middle = lambda x: F.percentile(F.when(ok, F.col(x)), 0.5, F.when(ok, n).otherwise(0))
+
+    by = by or []
+    keyed = found.withColumn("key_", F.struct(*by) if by else F.lit(1))
+    # values of a scope are merged before they are put in order, so a scope's list is as long as its different values
+    totals = keyed.groupBy("key_").agg(total.alias("total_"))
+    ranks = []
+    for x in ("lines", "files"):
+        values = keyed.groupBy("key_", x, "bulk").agg(F.sum("commits").alias("commits")).join(totals, "key_")
+        ranks.append(values.groupBy("key_", "total_").agg(F.array_sort(F.collect_list(F.when(~F.col("bulk"), F.struct(F.col(x).alias("x"), F.col("commits").alias("n"))))).alias("list")))
+    main = keyed.groupBy("key_", *by).agg(
+        total.cast("long").alias("commits"), round_places(summed("lines") / total, 1).alias("mean_lines"), round_places(middle("lines"), 1).alias("median_lines"),
+        round_places(summed("files") / total, 1).alias("mean_files"), round_places(middle("files"), 1).alias("median_files"),
+        ratio(part(F.col("lines") <= 20), total).alias("small_commit_ratio"), ratio(part(F.col("files") == 1), total).alias("single_file_ratio"),
+        ratio(F.sum(F.when(ok, F.col("added"))), summed("lines")).alias("addition_ratio"), F.sum(F.when(~ok, n).otherwise(0)).cast("long").alias("bulk_commit_count"),
+    )
+    for name, rank in zip(("p90_lines", "p90_files"), ranks):
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
+        step = lambda acc, c: F.struct((acc["seen"] + c["n"]).alias("seen"), F.coalesce(acc["at"], F.when((acc["seen"] + c["n"]) * 10 >= F.col("total_") * 9, c["x"])).alias("at"))
+        main = main.join(rank.select("key_", F.aggregate("list", start, step, lambda acc: acc["at"]).alias(name)), "key_", "left")
+    return main.drop("key_")
+
+
 def profile(sized: DataFrame, threshold: int, by: list[str] | None = None) -> DataFrame:
     """Scalar figures over the commits that aren't bulk; percentiles are exact, p90 by nearest rank."""
     ok = F.col("lines") <= threshold

@@ -64,3 +64,16 @@ def counts(changes: DataFrame, head: DataFrame) -> DataFrame:
     )
     folders = head.agg(F.count_distinct(paths.directory(F.col("path"), 1)).cast("long").alias("directory_count"))
     return there.join(F.broadcast(gone)).join(F.broadcast(made)).join(F.broadcast(folders))  # one row each
+
+
+def cells(changes: DataFrame, who: str = "id", date: str = "date") -> DataFrame:
+    """The additive form: entries, renames and new files per identity, year and path, with the last date."""
+    return changes.groupBy(F.col(who).alias("id"), F.year(date).alias("year"), "path").agg(
+        F.count(F.lit(1)).alias("entries"), F.max(date).alias("last_modified"), F.count("previous_path").alias("renames"), F.count_if("is_new").alias("new_files")
+    )
+
+
+def directories_of_cells(found: DataFrame) -> DataFrame:
+    """(depth, directory, entries, paths) of the cells of any scope: directory names unite across cells, entries add up."""
+    per_path = found.groupBy("path").agg(F.sum("entries").alias("entries"))  # a path once, before it is spread over its directories
+    return with_directories(per_path).groupBy("depth", "directory").agg(F.sum("entries").cast("long").alias("entries"), F.count(F.lit(1)).alias("paths"))

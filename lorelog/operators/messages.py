@@ -46,6 +46,38 @@ def profile(commits: DataFrame, subject: str = "subject", body: str | None = "bo
     )
 
 
+#: The additive marks of a commit: name -> test on subject and body.
+MARKS = {
+    "conventional": lambda s, b: text.is_conventional(s),
+    "with_body": lambda s, b: text.trim_space(b) != "",
+    "very_short": lambda s, b: F.length(s) <= 10,
+    "emoji": lambda s, b: text.has_emoji(s),
+    "revert": lambda s, b: text.is_revert(s),
+    "fix_typo": lambda s, b: text.is_typo_fix(s),
+    "wip": lambda s, b: text.is_wip(s),
+    "issue": lambda s, b: text.has_issue_reference(s) | text.has_issue_reference(b),
+}
+
+
+def cells(commits: DataFrame, who: str = "id", year: str = "year", subject: str = "subject", body: str = "body") -> DataFrame:
+    """The additive form: per identity, year and length of subject the commits, and how many have each mark."""
+    s, b = F.col(subject), F.coalesce(F.col(body), F.lit(""))
+    marks = {name: F.count_if(test(s, b)).cast("long") for name, test in MARKS.items()}
+    return commits.groupBy(F.col(who).alias("id"), F.col(year).alias("year"), F.length(s).alias("chars")).agg(F.count(F.lit(1)).alias("commits"), *(c.alias(n) for n, c in marks.items()))
+
+
+def profile_of_cells(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The figures of ``profile`` (all but the share of merges, which aren't in cells) from cells."""
+    n = F.sum("commits")
+    share = lambda mark: ratio(F.sum(mark), n)
+    return found.groupBy(*(by or [])).agg(
+        n.cast("long").alias("commits"), share("conventional").alias("conventional_ratio"), round_places(F.sum(F.col("chars") * F.col("commits")) / n, 1).alias("mean_subject_length"),
+        F.percentile("chars", 0.5, F.col("commits")).alias("median_subject_length"), share("with_body").alias("body_ratio"), F.sum("very_short").cast("long").alias("very_short_count"),
+        share("emoji").alias("emoji_ratio"), F.sum("revert").cast("long").alias("revert_count"), F.sum("fix_typo").cast("long").alias("fix_typo_count"),
+        share("wip").alias("wip_ratio"), share("issue").alias("issue_reference_ratio"),
+    )
+
+
 def prefixes(commits: DataFrame, subject: str = "subject") -> DataFrame:
     s = F.col(subject)
     return commits.filter(text.is_conventional(s)).groupBy(text.conventional_type(s).alias("prefix")).agg(F.count(F.lit(1)).alias("commits"))

@@ -17,19 +17,33 @@ def by_owner(lines: DataFrame, by: list[str] | None = None, n: Column | None = N
 
 
 def bus_factor(owned: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Fewest owners with half of the lines, and the largest owner's share; owned: (by, owner_id, lines), owners first."""
+    """Fewest owners with half of the lines, and the largest owner's share; owned: (by, owner_id, lines).
+
+    Owners with equally many lines are one row with their number before anything is put in order, so a task orders the
+    different numbers of lines (their square is bounded by the lines), not the owners.
+    """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc("lines"), "owner_id") if by else Window.orderBy(F.desc("lines"), "owner_id")
-    before = F.coalesce(F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    marked = owned.withColumn("before", before).withColumn("total", F.sum("lines").over(every))
+    sizes = owned.groupBy(*by, "lines").agg(F.count(F.lit(1)).alias("owners"))
+    totals = sizes.groupBy(*by).agg(F.sum(F.col("lines") * F.col("owners")).alias("total"))
+    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("lines")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("lines") * F.col("owners")).over(order), F.lit(0))
+    marked = sizes.withColumn("before", before)
+    marked = marked.join(totals, by) if by else marked.join(F.broadcast(totals))  # one row
+    # an owner counts while those before have less than half
+    needed = F.expr("(total - 2 * before + 2 * lines - 1) div (2 * lines)")
     return marked.groupBy(*by).agg(
-        F.count_if(F.col("before") * 2 < F.col("total")).cast("long").alias("bus_factor"),
+        F.sum(F.greatest(F.lit(0), F.least(F.col("owners"), needed))).cast("long").alias("bus_factor"),
         ratio(F.max("lines"), F.max("total")).alias("largest_share"),
         F.max("total").cast("long").alias("line_count"),
     )
 
 
+def cells(lines: DataFrame, n: Column | None = None) -> DataFrame:
+    """The additive form: surviving lines per owner, year of writing, depth-1 directory and file."""
+    n = F.lit(1) if n is None else n
+    return lines.groupBy("owner_id", F.year("day").alias("year"), "path").agg(F.sum(n).cast("long").alias("lines"))
+
+
 def summary(lines: DataFrame, head_day: Column, last_seen: DataFrame, n: Column | None = None) -> DataFrame:
     """line_count, median_line_age_days, first_year_survival_ratio, orphaned_line_ratio; last_seen: (owner_id, last_day)."""
     n = F.lit(1) if n is None else n

@@ -40,6 +40,12 @@ def breakdown(events: DataFrame, window: int, individual: DataFrame | None = Non
     return e.groupBy("editor", F.when(F.col("work_class") != "new_work", F.col("owner")).alias("owner"), "work_class").agg(F.sum("lines").cast("long").alias("lines"))
 
 
+def cells(events: DataFrame, window: int) -> DataFrame:
+    """The additive form: lines per editor, year of the edit, previous owner and class."""
+    e = events.withColumn("work_class", work_class(F.col("kind"), F.col("editor") == F.col("owner"), F.col("age_days"), window))
+    return e.groupBy("editor", "year", F.when(F.col("work_class") != "new_work", F.col("owner")).alias("owner"), "work_class").agg(F.sum("lines").cast("long").alias("lines"))
+
+
 def shares(cells: DataFrame, window: int) -> DataFrame:
     """One row: the classes' shares, the number of events and the window."""
     total = F.sum("lines")

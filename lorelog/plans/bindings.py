@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.functions import times
+from lorelog.functions import paths, times
 
 OFFSETS = (0, 180, -300)
 SUBJECTS = ("fix: ", "feat(core)!: ", 'Revert "', "Merge branch ", "WIP ", "Update docs for #12 ", "fix typo in ", "add ABC-12 ", "✨ ", "", "docs: ", "bump dependency ")
@@ -63,6 +63,21 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def change_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit, id, date, key, counted, added, deleted): file changes by the number of the file.
+
+    The rule of minified files is judged once a file, and no path is joined to a change.
+    """
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date"))
+    plain = part_paths(spark, sf_dir).select("p_partkey", (~paths.any_glob(F.col("path"), ["**/*.min.js"])).alias("plain"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(plain, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(
+        F.col("l_orderkey").alias("commit"), F.col("o_custkey").alias("id"), "date", F.col("l_partkey").alias("key"), (F.col("plain") & (F.col("l_linenumber") != 7)).alias("counted"),
+        F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"),
+    )
+
+
 def head_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_paths(spark, sf_dir).filter("p_size <= 40").select("path", (F.col("p_size") <= 30).alias("text"))
 
@@ -104,8 +119,8 @@ MESSAGES = f"""raw AS (
 def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, owner_id, day): a surviving line per row of lineitem."""
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey")
-    paths = part_paths(spark, sf_dir).select("p_partkey", "path")
-    return lines.join(paths, F.col("l_partkey") == F.col("p_partkey")).select("path", F.col("l_suppkey").alias("owner_id"), F.to_date("l_shipdate").alias("day"), F.col("l_orderkey").alias("commit"))
+    named = part_paths(spark, sf_dir).select("p_partkey", "path")
+    return lines.join(named, F.col("l_partkey") == F.col("p_partkey")).select("path", F.col("l_suppkey").alias("owner_id"), F.to_date("l_shipdate").alias("day"), F.col("l_orderkey").alias("commit"))
 
 
 OWNED = FILES + """, lines AS (

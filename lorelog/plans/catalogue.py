@@ -157,9 +157,8 @@ BULK = 300
 
 
 def _sized(spark, sf_dir):
-    c = b.file_changes(spark, sf_dir)
-    counted = ~paths.any_glob(F.col("path"), ["**/*.min.js"]) & ~F.col("is_binary")
-    return commit_size.sizes(c, "commit", "path", F.col("added"), F.col("deleted"), counted, ("date",))
+    c = b.change_keys(spark, sf_dir)
+    return commit_size.sizes(c, "commit", "key", F.col("added"), F.col("deleted"), F.col("counted"), ("id", "date"))
 
 
 SIZED = b.FILES + """, sized AS (
@@ -220,8 +219,7 @@ SELECT id, count(*) FILTER (lines <= {BULK}) AS commits, {one_place(f"avg(lines)
 FROM s GROUP BY id""",
 )
 def _(spark, sf_dir):
-    who = b.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("id"))
-    return commit_size.profile(_sized(spark, sf_dir).join(who, "commit"), BULK, ["id"])
+    return commit_size.profile(_sized(spark, sf_dir), BULK, ["id"])
 
 
 # --- messages -----------------------------------------------------------------------------------------------
@@ -395,7 +393,13 @@ def _(spark, sf_dir):
     return coupling.pairs(_modules(spark, sf_dir))
 
 
-@query("coupling_graph")
+GRAPH = f"""WITH RECURSIVE {MODULES}, listed AS (
+  SELECT *, row_number() OVER (ORDER BY support DESC, {sig('confidence')} DESC, a, b) AS place FROM (SELECT a, b, support, {sig('confidence')} AS confidence FROM found ORDER BY support DESC, confidence DESC, a, b LIMIT {LIMITS["coupling_pairs"]})
+), nodes AS (SELECT l.place, (SELECT count(DISTINCT n) FROM (SELECT unnest([x.a, x.b]) AS n FROM listed x WHERE x.place <= l.place)) AS n FROM listed l)
+SELECT a, b, support, confidence FROM listed WHERE place <= {LIMITS["coupling_graph_edges"]} AND place < coalesce((SELECT min(place) FROM nodes WHERE n > {LIMITS["coupling_graph_nodes"]}), 1000000)"""
+
+
+@query("coupling_graph", GRAPH.replace("WITH RECURSIVE", "WITH"))
 def _(spark, sf_dir):
     return coupling.graph(coupling.pairs(_modules(spark, sf_dir)))
 
@@ -500,13 +504,13 @@ def _(spark, sf_dir):
 
 @query(
     "ownership_summary",
-    f"""WITH {b.OWNED}, seen AS (SELECT l_suppkey AS owner_id, max(CAST(l_shipdate AS DATE)) AS last_day FROM lineitem WHERE l_linenumber = 3 GROUP BY 1
+    f"""WITH {b.OWNED}, seen AS (SELECT l_suppkey AS owner_id, max(CAST(l_shipdate AS DATE)) AS last_day FROM lineitem GROUP BY 1
 ), a AS (SELECT datediff('day', day, (SELECT max(day) FROM lines)) AS age, year(day) AS year, last_day IS NULL OR datediff('day', last_day, (SELECT max(day) FROM lines)) > 365 AS orphan FROM lines LEFT JOIN seen USING (owner_id))
 SELECT count(*) AS line_count, median(age) AS median_line_age_days, {share("count(*) FILTER (year = (SELECT min(year) FROM a))", "count(*)")} AS first_year_survival_ratio, {share("count(*) FILTER (orphan)", "count(*)")} AS orphaned_line_ratio FROM a""",
 )
 def _(spark, sf_dir):
     lines = b.owned_lines(spark, sf_dir)
-    seen = b.read(spark, sf_dir, "lineitem").filter("l_linenumber = 3").groupBy(F.col("l_suppkey").alias("owner_id")).agg(F.max(F.to_date("l_shipdate")).alias("last_day"))
+    seen = b.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("owner_id")).agg(F.max(F.to_date("l_shipdate")).alias("last_day"))
     head = lines.agg(F.max("day")).first()[0]
     return ownership.summary(lines, F.lit(head), seen)
 
@@ -672,7 +676,10 @@ def _(spark, sf_dir):
     return interpret.awarded(_axes(spark, sf_dir), "id")
 
 
-@query("badge_skips")
+SKIPS = [(name, ",".join(sorted(set(when) - interpret.TIME_AXES))) for name, when in interpret.BADGES if not set(when) <= interpret.TIME_AXES]
+
+
+@query("badge_skips", "SELECT * FROM (VALUES " + ", ".join(f"('{badge}', '{missing}')" for badge, missing in SKIPS) + ") v(badge, missing)")
 def _(spark, sf_dir):
     return interpret.skipped(_axes(spark, sf_dir))
 
@@ -700,7 +707,14 @@ def _(spark, sf_dir):
     return dag.ancestors(_edges(spark, sf_dir), head)
 
 
-@query("dag_levels")
+#: Every parent here is smaller than its child, so the order by the smallest free node is that of the numbers.
+@query(
+    "dag_levels",
+    f"""WITH RECURSIVE {EDGES}, roots AS (SELECT parent AS node FROM edges EXCEPT SELECT child FROM edges),
+walk(node, level) AS (SELECT node, 0 FROM roots UNION SELECT child, level + 1 FROM walk JOIN edges ON parent = node),
+deepest AS (SELECT node, max(level) AS level FROM walk GROUP BY node)
+SELECT node, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (ORDER BY node) - 1 AS INTEGER) AS position FROM deepest""",
+)
 def _(spark, sf_dir):
     return dag.levels(_edges(spark, sf_dir))
 
@@ -750,3 +764,92 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return temporal.instants(_moments(spark, sf_dir))
+
+
+# --- cells: what a scope says is what its cells say ----------------------------------------------------------
+
+#: Some contributors as one person, in one year of the orders.
+CHANGE_SCOPE = Scope(frozenset(range(1, 200, 3)), 1995)
+CHANGE_IDS = ", ".join(map(str, sorted(CHANGE_SCOPE.ids)))
+
+
+def _in_scope(cells: DataFrame, who: str = "id") -> DataFrame:
+    return cells.filter(CHANGE_SCOPE.includes(F.col(who), F.col("year")))
+
+
+@query(
+    "size_scope",
+    f"""WITH {SIZED}, picked AS (SELECT s.* FROM sized s JOIN orders ON commit = o_orderkey WHERE o_custkey IN ({CHANGE_IDS}) AND year(date) = {CHANGE_SCOPE.year}
+), s AS (SELECT *, cume_dist() OVER (ORDER BY lines) AS cl, cume_dist() OVER (ORDER BY files) AS cf FROM picked WHERE lines <= {BULK})
+SELECT count(*) AS commits, {one_place("avg(lines)")} AS mean_lines, {one_place("median(lines)")} AS median_lines, min(lines) FILTER (cl >= 0.9) AS p90_lines,
+       {one_place("avg(files)")} AS mean_files, {one_place("median(files)")} AS median_files, min(files) FILTER (cf >= 0.9) AS p90_files,
+       {share("count(*) FILTER (lines <= 20)", "count(*)")} AS small_commit_ratio, {share("count(*) FILTER (files = 1)", "count(*)")} AS single_file_ratio,
+       {share("sum(added)", "sum(lines)")} AS addition_ratio, (SELECT count(*) FROM picked WHERE lines > {BULK}) AS bulk_commit_count FROM s""",
+)
+def _(spark, sf_dir):
+    cells = commit_size.cells(_sized(spark, sf_dir).withColumn("year", F.year("date")), BULK)
+    return commit_size.profile_of_cells(_in_scope(cells))
+
+
+@query("size_cells", f"WITH {SIZED} SELECT o_custkey AS id, CAST(year(date) AS INTEGER) AS year, lines, files, lines > {BULK} AS bulk, count(*) AS commits, CAST(sum(added) AS BIGINT) AS added FROM sized JOIN orders ON commit = o_orderkey GROUP BY ALL")
+def _(spark, sf_dir):
+    return commit_size.cells(_sized(spark, sf_dir).withColumn("year", F.year("date")), BULK)
+
+
+@query("message_scope", f"SELECT * EXCLUDE (merge_subject_ratio) FROM ({_message_sql('role')})")
+def _(spark, sf_dir):
+    told = b.messages(spark, sf_dir).filter("not merge").withColumn("year", F.col("date") % 10)  # conversations play years
+    cells = messages.cells(told, "role")
+    return messages.profile_of_cells(cells, ["id"]).withColumnRenamed("id", "role")
+
+
+@query(
+    "files_scope",
+    f"""WITH {b.FILES}, picked AS (SELECT * FROM changes WHERE id IN ({CHANGE_IDS}) AND year(date) = {CHANGE_SCOPE.year}), {DIRECTORIES.format("picked")}
+SELECT depth, directory, count(*) AS entries, count(DISTINCT path) AS paths FROM spread GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    return files.directories_of_cells(_in_scope(files.cells(b.file_changes(spark, sf_dir))))
+
+
+@query("ownership_cells", f"WITH {b.OWNED} SELECT owner_id, CAST(year(day) AS INTEGER) AS year, path, count(*) AS lines FROM lines GROUP BY ALL")
+def _(spark, sf_dir):
+    return ownership.cells(b.owned_lines(spark, sf_dir))
+
+
+@query(
+    "ownership_scope",
+    f"WITH {b.OWNED}, source_ AS (SELECT * FROM lines WHERE owner_id IN ({CHANGE_IDS}) AND year(day) = {CHANGE_SCOPE.year}), {_bus_sql('')}",
+)
+def _(spark, sf_dir):
+    cells = _in_scope(ownership.cells(b.owned_lines(spark, sf_dir)), "owner_id")
+    return ownership.bus_factor(cells.groupBy("owner_id").agg(F.sum("lines").alias("lines")))
+
+
+EDITS_BY_YEAR = b.EDITS.replace("datediff('day', old_day, day) AS age_days FROM ordered", "datediff('day', old_day, day) AS age_days, CAST(year(day) AS INTEGER) AS year FROM ordered")
+
+
+@query("worktype_cells", f"WITH {EDITS_BY_YEAR} SELECT editor, year, CASE WHEN kind <> 'addition' THEN owner END AS owner, {WORK_CLASS} AS work_class, count(*) AS lines FROM edits GROUP BY ALL")
+def _(spark, sf_dir):
+    return worktype.cells(_edits(spark, sf_dir), WINDOW)
+
+
+@query("worktype_scope", f"WITH {EDITS_BY_YEAR}, k AS (SELECT CASE WHEN {WORK_CLASS} = 'help_others' AND owner IN ({CHANGE_IDS}) THEN 'rework' ELSE {WORK_CLASS} END AS c FROM edits WHERE editor IN ({CHANGE_IDS}) AND year = {CHANGE_SCOPE.year}) SELECT {SHARES}, count(*) AS classified_line_count, {WINDOW}::BIGINT AS recency_window_days FROM k")
+def _(spark, sf_dir):
+    cells = worktype.cells(_edits(spark, sf_dir), WINDOW).filter(F.col("year") == CHANGE_SCOPE.year)
+    return worktype.selected_shares(cells, sorted(CHANGE_SCOPE.ids), WINDOW)
+
+
+#: At most so many identities stand alone; the others are one bucket (null).
+FEW = 12
+
+
+@query(
+    "worktype_folded",
+    f"""WITH {b.EDITS}, few AS (SELECT editor AS id FROM edits GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {FEW}), k AS (SELECT *, {WORK_CLASS} AS work_class FROM edits)
+SELECT CASE WHEN editor IN (SELECT id FROM few) THEN editor END AS editor, CASE WHEN kind <> 'addition' AND owner IN (SELECT id FROM few) THEN owner END AS owner, work_class, count(*) AS lines FROM k GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    events = _edits(spark, sf_dir)
+    few = events.groupBy(F.col("editor").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(FEW)
+    return worktype.breakdown(events, WINDOW, few)

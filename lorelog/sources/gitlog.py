@@ -9,19 +9,25 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lorelog.model import UserError
+from lorelog.storage import stored
 
 #: Sharding, limits, and the settings that decide which changes the log shows.
 SHARD_FROM, SHARD_MAX, SHARD_LEAST = 5_000, 16, 500
 BAD_SHARE = 0.01
 MIN_VERSION = (2, 22, 0)
 TIMEOUT = 600
+#: Bytes of the log, and of contents, that a task holds at a time.
+CHUNK = 4 << 20
+BLOB_BYTES = 64 << 20
 SETTINGS = (
     "core.quotePath=false", "diff.renames=true", "diff.renameLimit=1000", "diff.algorithm=myers", "log.showRoot=true", "i18n.logOutputEncoding=UTF-8",
     "core.attributesFile=/dev/null", "mailmap.file=", "mailmap.blob=HEAD:.mailmap", "log.showSignature=false",
@@ -34,12 +40,16 @@ SCHEMA = (
 )
 
 
+def command(path: str, *args: str) -> list[str]:
+    return ["git", "-C", path, "--no-replace-objects", *(x for s in SETTINGS for x in ("-c", s)), *args]
+
+
+def environment() -> dict[str, str]:
+    return os.environ | {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_ATTR_NOSYSTEM": "1", "LC_ALL": "C"}
+
+
 def git(path: str, *args: str, given: bytes | None = None) -> bytes:
-    command = ["git", "-C", path, "--no-replace-objects"]
-    for s in SETTINGS:
-        command += ["-c", s]
-    env = os.environ | {"GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_ATTR_NOSYSTEM": "1", "LC_ALL": "C"}
-    done = subprocess.run([*command, *args], input=given, capture_output=True, timeout=TIMEOUT, env=env)
+    done = subprocess.run(command(path, *args), input=given, capture_output=True, timeout=TIMEOUT, env=environment())
     if done.returncode:
         raise RuntimeError(f"git {args[0]}: {done.stderr.decode(errors='replace')[:300]}")
     return done.stdout
@@ -144,19 +154,19 @@ def parse(data: bytes, first_seq: int, order: dict[str, int] | None = None) -> I
         tree_hash, tree, parents, name, mapped, source, authored, committed, subject = header[:9]
         body = "\x1f".join(header[9:-1])
         tokens_at = at
+        a = c = a_off = c_off = None
         try:
             if at < len(tokens):
                 tokens[at] = tokens[at].lstrip("\n")
             files, at = _changes(tokens, at)
+            (a, a_off), (c, c_off) = _instant(authored), _instant(committed)
             bad = False
-        except (ValueError, IndexError):
-            files, bad, at = [], True, tokens_at
+        except (ValueError, IndexError, OverflowError):
+            files, bad, at = [], True, max(at, tokens_at)
         up = parents.split()
         diff_no = seen.get(tree_hash, -1) + 1
         seen[tree_hash] = diff_no
         seq = order[tree_hash] if order else first_seq + len(seen) - 1
-        a, a_off = _instant(authored)
-        c, c_off = _instant(committed)
         yield (tree_hash, seq, tree, up, name, mapped, source, a, a_off, c, c_off, len(up) > 1, subject, body, diff_no, [tuple(f.values()) for f in files], bad)
 
 
@@ -166,25 +176,57 @@ class Shard(InputPartition):
         self.hashes, self.first = hashes, first
 
 
+def resolved_bounds(path: str, since: str | None = None, until: str | None = None) -> dict[str, int]:
+    """The instants (seconds) that texts like "2 weeks ago" stand for; asked once, so that all shards use the same ones."""
+    out = {}
+    for name, text, kind in (("since", since, "--max-age="), ("until", until, "--min-age=")):
+        if text:
+            out[name] = int(git(path, "rev-parse", f"--{name}={text}").decode().strip().removeprefix(kind))
+    return out
+
+
+def records(stream) -> Iterator[bytes]:
+    """The log cut in front of headers, whole commits at a time, as it comes: no more than CHUNK bytes and one commit are held."""
+    held = b""
+    while data := stream.read(CHUNK):
+        held += data
+        cut = held.rfind(b"\0\x1e")
+        if cut > 0:
+            # a merge's diffs stay together, as they are numbered within the commit
+            first = held[cut + 2 : cut + 42]
+            while (before := held.rfind(b"\0\x1e", 0, cut)) > 0 and held[before + 2 : before + 42] == first:
+                cut = before
+            yield held[: cut + 1]
+            held = held[cut + 1 :]
+    if held:
+        yield held
+
+
 class GitLogReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.since, self.until = options.get("since"), options.get("until")
+        self.bounds = resolved_bounds(self.path, options.get("since"), options.get("until"))
         self.cores = int(options.get("shards", os.cpu_count() or 1))
 
     def partitions(self) -> list[InputPartition]:
-        bounds = [f"--since={self.since}"] * bool(self.since) + [f"--until={self.until}"] * bool(self.until)
-        hashes = git(self.path, "rev-list", "--all", "--date-order", *bounds).decode().split()
+        ages = {"since": "max", "until": "min"}
+        hashes = git(self.path, "rev-list", "--all", "--date-order", *(f"--{ages[k]}-age={v}" for k, v in self.bounds.items())).decode().split()
         return [Shard(hashes[a:z], a) for a, z in shards(len(hashes), self.cores)]
 
     def read(self, partition: Shard) -> Iterator[tuple]:
         if not partition.hashes:
             return
         order = {h: partition.first + i for i, h in enumerate(partition.hashes)}
-        data = git(
-            self.path, "log", "--no-walk=unsorted", "--stdin", "-z", "--raw", "--numstat", "--no-abbrev", "-M", "-m", f"--format={FORMAT}", given="\n".join(partition.hashes).encode()
-        )
-        yield from parse(data, partition.first, order)
+        args = ["log", "--no-walk=unsorted", "--stdin", "-z", "--raw", "--numstat", "--no-abbrev", "-M", "-m", f"--format={FORMAT}"]
+        with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as said:
+            given.write("\n".join(partition.hashes).encode())
+            given.seek(0)
+            with subprocess.Popen(command(self.path, *args), stdin=given, stdout=subprocess.PIPE, stderr=said, env=environment()) as process:
+                for part in records(process.stdout):
+                    yield from parse(part, partition.first, order)
+            if process.returncode:
+                said.seek(0)
+                raise RuntimeError(f"git log: {said.read(300).decode(errors='replace')}")
 
 
 class GitLogSource(DataSource):
@@ -202,9 +244,7 @@ class GitLogSource(DataSource):
 def read_history(spark: SparkSession, path: str, **options) -> DataFrame:
     """All diffs of all commits (a merge has one row per shown diff); refuses a log of which over 1 % can't be read."""
     spark.dataSource.register(GitLogSource)
-    found = spark.read.format("gitlog").option("path", path).options(**options).load()
-    from pyspark.sql import functions as F
-
+    found = stored(spark.read.format("gitlog").option("path", path).options(**options).load(), "gitlog")  # the log is read once
     n = found.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
     if n["bad"] > BAD_SHARE * n["n"]:
         raise RuntimeError(f"{n['bad']} of {n['n']} records can't be read")
@@ -221,26 +261,45 @@ def tree_at(spark: SparkSession, path: str, commit: str = "HEAD") -> DataFrame:
     return spark.createDataFrame(rows, "path string, type string, blob string")
 
 
+def _first_bytes(path: str, oid: str, n: int) -> bytes:
+    with subprocess.Popen(command(path, "cat-file", "blob", oid), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=environment()) as process:
+        out = process.stdout.read(n)
+        process.kill()
+    return out
+
+
+def _contents(path: str, oids: list[str]) -> Iterator[tuple[str, bytes]]:
+    data, at = git(path, "cat-file", "--batch", given="\n".join(oids).encode()), 0
+    for oid in oids:
+        end = data.index(b"\n", at)
+        size = int(data[at:end].split()[2])
+        yield oid, data[end + 1 : end + 1 + size]
+        at = end + 2 + size
+
+
 def blobs(oids: DataFrame, path: str, limit: int = 32 << 20, sniffed: int = 8000) -> DataFrame:
-    """(oid, content, size, oversized) of a column ``oid``; of a content over the limit only its first bytes are kept."""
+    """(oid, content, size, oversized) of a column ``oid``; of a content over the limit only its first bytes are read.
+
+    Sizes are asked first; contents come up to BLOB_BYTES at a time.
+    """
 
     def run(batches):
         import pandas as pd
 
         for t in batches:
             names = t["oid"].tolist()
-            data, at, rows = git(path, "cat-file", "--batch", given="\n".join(names).encode()), 0, []
-            for oid in names:
-                end = data.index(b"\n", at)
-                head = data[at:end].split()
-                if len(head) < 3:
-                    rows.append((oid, None, 0, False))
-                    at = end + 1
-                    continue
-                size = int(head[2])
-                content = data[end + 1 : end + 1 + size]
-                rows.append((oid, content[:sniffed] if size > limit else content, size, size > limit))
-                at = end + 2 + size
-            yield pd.DataFrame(rows, columns=["oid", "content", "size", "oversized"])
+            said = [line.split() for line in git(path, "cat-file", "--batch-check", given="\n".join(names).encode()).decode().splitlines()]
+            sizes = {oid: int(words[2]) if len(words) == 3 else None for oid, words in zip(names, said)}
+            rows = [(oid, None, 0, False) for oid in names if sizes[oid] is None]
+            rows += [(oid, _first_bytes(path, oid, sniffed), sizes[oid], True) for oid in names if sizes[oid] is not None and sizes[oid] > limit]
+            if rows:
+                yield pd.DataFrame(rows, columns=["oid", "content", "size", "oversized"])
+            some, held = [], 0
+            for oid in [*(x for x in names if sizes[x] is not None and sizes[x] <= limit), None]:
+                if some and (oid is None or held + sizes[oid] > BLOB_BYTES):
+                    yield pd.DataFrame([(x, content, sizes[x], False) for x, content in _contents(path, some)], columns=["oid", "content", "size", "oversized"])
+                    some, held = [], 0
+                if oid is not None:
+                    some, held = [*some, oid], held + sizes[oid]
 
     return oids.select("oid").distinct().mapInPandas(run, "oid string, content binary, size long, oversized boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,11 @@ HOT_SHARE = 200
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where the session names none, one of our own if
+    driver and executors are one process, and an error otherwise."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "") or ""):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return root or _own_root()
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lorelog.operators import dag, replay
+from lorelog.operators import alignment, dag, replay
 
 
 def brute_lcs(a, b):
@@ -20,27 +20,27 @@ def test_alignment_is_a_longest_common_subsequence(seed):
     rng = random.Random(seed)
     a = [b"%d\n" % rng.randrange(6) for _ in range(rng.randrange(30))]
     b = [b"%d\n" % rng.randrange(6) for _ in range(rng.randrange(30))]
-    got = replay.align(a, b)
+    got = alignment.align(a, b)
     pairs = [(i, j) for j, i in enumerate(got) if i >= 0]
     assert all(a[i] == b[j] for i, j in pairs) and [i for i, _ in pairs] == sorted({i for i, _ in pairs})
     assert len(pairs) == brute_lcs(a, b)
 
 
 def test_ties_pass_over_old_lines_first():
-    assert replay.align([b"x", b"a", b"b", b"y"], [b"p", b"b", b"a", b"q"]) == [-1, 2, -1, -1]
+    assert alignment.align([b"x", b"a", b"b", b"y"], [b"p", b"b", b"a", b"q"]) == [-1, 2, -1, -1]
 
 
 def test_large_gaps_use_unique_lines(monkeypatch):
-    monkeypatch.setattr(replay, "EXACT_CELLS", 4)
+    monkeypatch.setattr(alignment, "EXACT_CELLS", 4)
     a = [b"r", b"u1", b"r", b"r", b"u2", b"r", b"z"]
     b = [b"n", b"u1", b"r", b"m", b"u2", b"r", b"k"]
-    got = replay.align(a, b)
+    got = alignment.align(a, b)
     assert got[1] == 1 and got[4] == 4 and got[0] == -1 and got[6] == -1
-    assert replay.align([b"a", b"a", b"a", b"b"] * 3, [b"b", b"c", b"a"] * 4)[0] == -1  # no unique line, no match inside
+    assert alignment.align([b"a", b"a", b"a", b"b"] * 3, [b"b", b"c", b"a"] * 4)[0] == -1  # no unique line, no match inside
 
 
 def test_split_lines():
-    assert replay.split_lines(b"a\nb") == [b"a\n", b"b"] and replay.split_lines(b"a\n") == [b"a\n"] and replay.split_lines(b"") == [] and replay.split_lines(b"\n\n") == [b"\n", b"\n"]
+    assert alignment.split_lines(b"a\nb") == [b"a\n", b"b"] and alignment.split_lines(b"a\n") == [b"a\n"] and alignment.split_lines(b"") == [] and alignment.split_lines(b"\n\n") == [b"\n", b"\n"]
 
 
 def test_blocks():
