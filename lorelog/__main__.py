@@ -47,8 +47,9 @@ def analyse(spark, args: argparse.Namespace) -> dict:
     from pyspark.sql import functions as F
 
     from lorelog.functions.paths import has_nul
-    from lorelog.operators import annotate
+    from lorelog.operators import annotate, replay, steps
     from lorelog.sources import gitlog
+    from lorelog.storage import stored
 
     config, warnings = configure(args)
     if not args.quiet:
@@ -56,7 +57,8 @@ def analyse(spark, args: argparse.Namespace) -> dict:
             print(w, file=sys.stderr)
     info = gitlog.preflight(args.path, args.allow_shallow)
     bounds = {k: v for k, v in (("since", config.since), ("until", config.until)) if v}
-    commits = gitlog.read_history(spark, info["path"], **bounds).filter("diff_no = 0")
+    log = gitlog.read_history(spark, info["path"], **bounds)
+    commits = log.filter("diff_no = 0")
     tree = gitlog.tree_at(spark, info["path"])
     marks = ""
     if not tree.filter("path = '.gitattributes'").isEmpty():
@@ -67,9 +69,16 @@ def analyse(spark, args: argparse.Namespace) -> dict:
         if n < report.MIN_YEAR_COMMITS:
             raise UserError("year_below_threshold", f"{config.year} has {n} analysed commits, {report.MIN_YEAR_COMMITS} are needed")
         annotated = annotated.withColumn("excluded", F.col("excluded") | (F.col("year") != config.year))
-    contents = gitlog.blobs(tree.filter("type = 'blob'").select(F.col("blob").alias("oid")), info["path"])
-    head = tree.join(contents, F.col("blob") == F.col("oid"), "left").select("path", (F.col("content").isNotNull() & ~has_nul(F.col("content"))).alias("text"))
-    return report.build(annotated, annotate.file_changes(annotated, config, marks), head, config, info, info["is_shallow"])
+    oids = tree.filter("type = 'blob'").select(F.col("blob").alias("oid")).unionByName(steps.touched_blobs(log))
+    contents = stored(gitlog.blobs(oids, info["path"]), "contents")
+    head = tree.join(contents, F.col("blob") == F.col("oid"), "left").withColumn("text", F.col("content").isNotNull() & ~has_nul(F.col("content")))
+    text_lines = head.filter("text and not oversized").select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line_no", "text"))
+    changed, graph = steps.steps(log, annotated, contents, info["head_commit"])
+    replayed = stored(replay.replay(changed, graph, info["head_commit"]), "replayed")
+    built = report.build(annotated, annotate.file_changes(annotated, config, marks), head.select("path", "text"), config, info, info["is_shallow"], replayed, text_lines, marks)
+    # a bounded log begins in the middle, so its replay can't end with the whole tree
+    built["metadata"]["tree_differences"] = [r.asDict() for r in steps.check_tree(replayed, tree).orderBy("path").limit(report.LISTED_DIFFERENCES).collect()] if not bounds else []
+    return built
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -27,6 +27,7 @@ MIN_VERSION = (2, 22, 0)
 TIMEOUT = 600
 #: Bytes of the log, and of contents, that a task holds at a time.
 CHUNK = 4 << 20
+HASH_DIGITS = 40
 BLOB_BYTES = 64 << 20
 SETTINGS = (
     "core.quotePath=false", "diff.renames=true", "diff.renameLimit=1000", "diff.algorithm=myers", "log.showRoot=true", "i18n.logOutputEncoding=UTF-8",
@@ -185,19 +186,24 @@ def resolved_bounds(path: str, since: str | None = None, until: str | None = Non
     return out
 
 
+_HEADER = re.compile(b"\0\x1e")
+
+
 def records(stream) -> Iterator[bytes]:
     """The log cut in front of headers, whole commits at a time, as it comes: no more than CHUNK bytes and one commit are held."""
     held = b""
     while data := stream.read(CHUNK):
         held += data
-        cut = held.rfind(b"\0\x1e")
-        if cut > 0:
-            # a merge's diffs stay together, as they are numbered within the commit
-            first = held[cut + 2 : cut + 42]
-            while (before := held.rfind(b"\0\x1e", 0, cut)) > 0 and held[before + 2 : before + 42] == first:
-                cut = before
-            yield held[: cut + 1]
-            held = held[cut + 1 :]
+        end = len(held) - HASH_DIGITS  # up to the last header whose hash is there as a whole
+        heads = [0, *(m.start() + 1 for m in _HEADER.finditer(held, 0, max(0, end)))] if end > 0 else [0]
+        # a merge's diffs stay together, as they are numbered within the commit
+        cut = heads[-1]
+        while len(heads) > 1 and held[heads[-2] + 1 : heads[-2] + 1 + HASH_DIGITS] == held[cut + 1 : cut + 1 + HASH_DIGITS]:
+            heads.pop()
+            cut = heads[-1]
+        if cut:
+            yield held[:cut]
+            held = held[cut:]
     if held:
         yield held
 

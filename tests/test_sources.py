@@ -152,8 +152,96 @@ def test_command_line(spark, clone, tmp_path, capsys):
     assert main([clone, "--output", str(out), "--html", str(tmp_path / "o.html"), "--quiet"], spark) == 0
     built = json.loads(out.read_text())
     assert built["families"]["files"]["metrics"]["tracked_text_file_count"] == 3 and built["repository"]["default_branch"] == "main"
+    assert built["metadata"]["tree_differences"] == []
+    owned = built["families"]["ownership"]["metrics"]
+    blame = {}
+    for path in ("src/c.go", "src/d.go"):
+        said = gitlog.git(clone, "blame", "--line-porcelain", "HEAD", "--", path).decode()
+        for line in said.splitlines():
+            if line.startswith("author "):
+                blame[line[7:]] = blame.get(line[7:], 0) + 1
+    names = {i["id"]: i["display_name"] for i in built["identities"] if "id" in i}
+    assert {names[o["owner_id"]]: o["lines"] for o in owned["owners"]} == {k: v for k, v in blame.items() if k != "ci[bot]"} and owned["line_count"] == sum(blame.values())
+    work = built["families"]["worktype"]["metrics"]["repository_shares"]
+    assert (work["classified_line_count"], work["new_work"]) == (7, 1.0)
+    assert built["families"]["ai_archaeology"]["metrics"]["assisted_commit_count"] == 0
+    assert {h["path"] for h in built["families"]["hotspot"]["metrics"]["hotspots"]} <= {"src/c.go", "src/d.go"}
+    assert {p["id"] for p in built["interpretation"]["people"]} == set(names) and built["interpretation"]["repository"]
+    assert "static" not in {b["badge"] for b in built["interpretation"]["skipped_badges"]}
     assert main([str(tmp_path / "none")], spark) == 2 and "path_not_found" in capsys.readouterr().err
     assert main([clone, "--year", "2025", "--quiet"], spark) == 2 and "year_below_threshold" in capsys.readouterr().err
     bad = tmp_path / "c.json"
     bad.write_text("[")
     assert main([clone, "--config", str(bad)], spark) == 2
+
+
+def test_configuration_is_shown_without_people():
+    config = Config(identities=(("ada@example.com", "Ada", ("a@old.example",)),), exclude_authors=(*Config().exclude_authors, "Bob", "eve@example.com"))
+    text = json.dumps(config.shown())
+    assert "@" not in text.replace("@" * 2, "") and "Ada" in text and "Bob" in text
+    hidden = json.dumps(Config(identities=config.identities, exclude_authors=config.exclude_authors, anonymize=True).shown())
+    assert not any(x in hidden for x in ("Ada", "Bob", "ada@", "eve@")) and hidden.count("ref:") == 5
+
+
+def test_log_comes_in_pieces(clone, monkeypatch):
+    reader = gitlog.GitLogReader({"path": clone})
+    whole = [row for p in reader.partitions() for row in reader.read(p)]
+    monkeypatch.setattr(gitlog, "CHUNK", 64)
+    assert [row for p in reader.partitions() for row in reader.read(p)] == whole
+    assert sum(row[11] for row in whole) == 2  # the merge has a diff against either parent
+
+
+def test_odd_dates_mark_the_record():
+    header = "\x1e" + "\x1f".join(["h", "t", "", "n", "e", "e", "when?", "2025-01-01T00:00:00+00:00", "s", "", ""])
+    change = ":000000 100644 " + "0" * 40 + " " + "a" * 40 + " A\0p\0" + "1\t0\tp\0"
+    good = header.replace("h", "i", 1).replace("when?", "2025-01-01T00:00:00+00:00")
+    assert [x[-1] for x in gitlog.parse((header + "\0" + change + good + "\0" + change).encode(), 0)] == [True, False]
+
+
+def test_bounds_are_instants(clone):
+    assert gitlog.resolved_bounds(clone, "2025-01-06T00:00:00+00:00") == {"since": 1736121600}
+    assert len([h for p in gitlog.GitLogReader({"path": clone, "since": "2025-01-06T00:00:00+00:00"}).partitions() for h in p.hashes]) == 4
+
+
+def test_replay_finds_edits_of_a_clone(spark, tmp_path):
+    """Every line event of a small history, listed by hand: a rename, an edit of another's line, a merge, a deletion."""
+    from lorelog.operators import replay, steps
+
+    ada, bob = ("Ada", "ada@example.com"), ("Bob", "bob@example.com")
+    run(tmp_path, "init", "-q", "-b", "main")
+
+    def commit(files, day, who, *moves):
+        for old, new in moves:
+            run(tmp_path, "mv", old, new)
+        for name, content in files.items():
+            if content is None:
+                run(tmp_path, "rm", "-q", name)
+            else:
+                (tmp_path / name).write_text(content)
+        run(tmp_path, "add", "-A")
+        run(tmp_path, "commit", "-q", "-m", f"day {day}", when=f"2025-01-{day:02}T12:00:00+00:00", who=who)
+
+    base = "".join(f"line {k}\n" for k in range(10))
+    commit({"f": base, "g": "a\nb\n"}, 1, ada)
+    run(tmp_path, "checkout", "-q", "-b", "side")
+    commit({"g": "a\nb\nc\n"}, 3, bob)
+    run(tmp_path, "checkout", "-q", "main")
+    commit({"h": base.replace("line 4", "other 4")}, 5, bob, ("f", "h"))
+    run(tmp_path, "merge", "-q", "--no-ff", "-m", "merge", "side", when="2025-01-06T12:00:00+00:00", who=ada)
+    commit({"g": None}, 9, ada)
+    config = Config(count_merges=True)
+    log = gitlog.read_history(spark, str(tmp_path))
+    annotated = annotate.annotate(log.filter("diff_no = 0"), config)
+    contents = gitlog.blobs(steps.touched_blobs(log), str(tmp_path))
+    head = gitlog.preflight(str(tmp_path))["head_commit"]
+    out = replay.replay(*steps.steps(log, annotated, contents, head), head)
+    name = {r.identity_id: r.identity_name for r in annotated.collect()}
+    events = {(r.kind, name[r.editor], name.get(r.owner), r.age_days, r.path, r.lines) for r in replay.edit_events(out).collect()}
+    assert events == {
+        ("addition", "Ada", None, None, "f", 10), ("addition", "Ada", None, None, "g", 2), ("addition", "Bob", None, None, "g", 1),
+        ("replacement", "Bob", "Ada", 4, "h", 1), ("deletion", "Ada", "Ada", 8, "g", 2), ("deletion", "Ada", "Bob", 6, "g", 1),
+    }
+    assert steps.check_tree(out, gitlog.tree_at(spark, str(tmp_path))).count() == 0
+    assert [(r.path, r.reason) for r in steps.check_tree(out, gitlog.tree_at(spark, str(tmp_path)).filter("path <> 'h'")).collect()] == [("h", "not in the tree")]
+    owners = {r.line_no: name[r.owner_id] for r in replay.ownership_lines(out).collect()}
+    assert owners == {k: "Bob" if k == 4 else "Ada" for k in range(10)}
