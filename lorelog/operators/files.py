@@ -45,8 +45,14 @@ def with_directories(changes: DataFrame, path: str = "path") -> DataFrame:
 
 
 def directory_activity(changes: DataFrame, least: int = DIRECTORY_MIN_COMMITS, limit: int = LIMITS["directory_activity_entries"]) -> DataFrame:
-    spread = with_directories(changes.select("commit", "path")).select("commit", "depth", "directory").distinct()
-    return spread.groupBy("depth", "directory").agg(F.count(F.lit(1)).alias("commits")).filter(F.col("commits") >= least).orderBy(F.desc("commits"), "directory").limit(limit)
+    p = F.col("path")
+    # paths are reduced to their directories before anything shuffles; a depth-2 directory says its depth-1 one
+    pairs = changes.select("commit", paths.directory(p, 1).alias("upper"), paths.directory(p, 2).alias("lower")).filter("upper is not null").distinct()
+    out = []
+    for depth, name, rows in ((1, "upper", pairs.select("commit", "upper").distinct()), (2, "lower", pairs.filter("lower is not null"))):
+        counts = rows.groupBy(F.col(name).alias("directory")).agg(F.count(F.lit(1)).alias("commits")).filter(F.col("commits") >= least)
+        out.append(counts.select(F.lit(depth).cast("long").alias("depth"), "directory", "commits"))
+    return out[0].unionByName(out[1]).orderBy(F.desc("commits"), "directory").limit(limit)
 
 
 def counts(changes: DataFrame, head: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ DEPTH_CAP = 20
 def churn(changes: DataFrame, path: str = "path", at: str = "at", days: int = CHURN_DAYS, least: int = CHURN_LEAST, limit: int = LIMITS["churn_files"]) -> DataFrame:
     """Most touches in any rolling window of ``days`` times 24 h, both ends included.
 
-    Paths with fewer touches in all than ``least`` can't qualify and leave before the window.
+    Touches of one second are one row, and paths with fewer touches in all than ``least`` can't qualify, before the window.
     """
-    touches = changes.select(F.col(path).alias("path"), F.col(at).alias("at"))
-    total = touches.groupBy("path").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= least)
+    touches = changes.groupBy(F.col(path).alias("path"), F.col(at).alias("at")).agg(F.count(F.lit(1)).alias("k"))
+    total = touches.groupBy("path").agg(F.sum("k").alias("total")).filter(F.col("total") >= least)
     w = Window.partitionBy("path").orderBy("at").rangeBetween(-days * 86_400, 0)
-    rolled = touches.join(total, "path").withColumn("n", F.count(F.lit(1)).over(w))
+    rolled = touches.join(total, "path").withColumn("n", F.sum("k").over(w))
     most = rolled.groupBy("path").agg(F.max("n").alias("window_commits"), F.max("total").alias("total_commits")).filter(F.col("window_commits") >= least)
     return most.orderBy(F.desc("window_commits"), F.desc("total_commits"), "path").limit(limit)
 
