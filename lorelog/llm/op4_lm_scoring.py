@@ -1,8 +1,7 @@
 """LM scoring: word counts of the whole corpus, and a log-bilinear model trained by noise-contrastive estimation.
 
 Counts.  Every scan task counts its training tokens; the counts meet by word.  The VOCAB most frequent words (of at least
-MIN_COUNT tokens) and their counts go to all tasks; every other word belongs to one of SUFFIXES classes by a hash of its
-last letters.  Documents are dealt by hash into blocks of about BLOCK_BYTES, as numbers of words and classes, with the
+MIN_COUNT tokens) and their counts go to all tasks; every other word belongs to one of SUFFIXES classes by its last bytes.  Documents are dealt by hash into blocks of about BLOCK_BYTES, as numbers of words and classes, with the
 words of the classes beside them.  For scoring, a block sends each of those words once and gets its count back, so what
 is gathered grows with the corpus, no such word is asked for by more than one row a block, and none is broadcast.
 
@@ -24,16 +23,15 @@ from __future__ import annotations
 
 import functools
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelog.llm.common import bucketed, drop_bucketed, drop_stored, id_crc, stored
+from lorelog.llm.common import bucketed, id_crc, stored, whole_text
 
 #: The token that ends every text; no word holds a line break.
 END = b"\n"
@@ -41,7 +39,7 @@ FOLDS = 10
 ALPHA = 0.1
 VOCAB = 1 << 15
 MIN_COUNT = 3
-SUFFIXES = 64
+SUFFIXES = 61
 SUFFIX_BYTES = 3
 DIM = 12
 CONTEXT = 4
@@ -52,70 +50,80 @@ ROUNDS = 4
 SEED = 11
 #: Splits of the tree of words down to a branch, and to a leaf.
 BRANCH_SPLITS, LEAF_SPLITS = 5, 10
-BLOCK_BYTES = 48 << 20
-#: Distinct words that a scan task holds before it hands its counts on.
-HELD_WORDS = 300_000
-#: Tokens scored at a time.
-RUN = 1 << 17
+BLOCK_BYTES = 32 << 20
+#: Bytes of text that are cut into words together, and tokens that are scored together.
+CUT_BYTES = 16 << 20
+RUN = 1 << 16
 #: Parameters are summed as whole numbers of 1 / GRAIN, in so many slices.
 GRAIN = 1 << 16
 SLICES = 16
 
 
-def tokens(raw: bytes | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased, and the end."""
-    out = (raw or b"").lower().split()
-    out.append(END)
-    return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts with A-Z lower-cased, one text behind the other, and their number in each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten().cast(pa.binary())
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(some, min_count=0).as_py():  # blanks at the ends leave empty words
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(some)
+    return words, sizes
+
+
+def _cuts(column: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of a column, up to ``size`` bytes at a time or one larger value."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, column.slice(at, end - at)
+        at = end
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % folds == 0).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("raw")
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc(id_col) % folds == 0).alias("held_out"), whole_text(text_col).alias("raw"))
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
     """Rows (word, c) over the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-            held.clear()
-            return out
-
+        texts = 0
         for batch in batches:
-            for raw in batch.column(0):
-                held.update(tokens(raw.as_py()))
-                if len(held) >= HELD_WORDS:
-                    yield hand_on()
-        if held:
-            yield hand_on()
+            texts += batch.num_rows
+            for _, some in _cuts(batch.column(0), CUT_BYTES):
+                yield pa.RecordBatch.from_struct_array(pc.value_counts(words_of(some)[0])).rename_columns(["word", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
     parts = rows.filter("not held_out").select("raw").mapInArrow(run, "word binary, c long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c"))
+    return parts.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 # --- vocabulary ---
 
 
-class Lexicon(dict):
-    """word -> number, the end first, then the most frequent; a word outside has the number of its suffix class, after the words'."""
+def suffix_classes(words: pa.Array) -> np.ndarray:
+    """The last SUFFIX_BYTES bytes as a number, modulo SUFFIXES."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if words.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    out = np.zeros(len(words), dtype=np.int64)
+    for k in range(SUFFIX_BYTES, 0, -1):
+        at = offsets[1:] - k
+        has = at >= offsets[:-1]
+        out[has] = out[has] * 256 + data[at[has]]
+    return out % SUFFIXES
 
-    def __init__(self, words: list[bytes], counts: list[int], class_tokens: list[int], class_words: list[int]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.counts, self.class_tokens, self.class_words = counts, class_tokens, class_words
 
-    def __missing__(self, word: bytes) -> int:
-        return len(self.counts) + zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
+class Lexicon:
+    """Numbers of words: the end has 0, then come the most frequent; a word outside has that of its suffix class, after them."""
 
-    def __reduce__(self):
-        return Lexicon, (list(self), self.counts, self.class_tokens, self.class_words)
+    def __init__(self, words: list[bytes], counts: list[int], class_tokens: list[int], class_words: list[int]):
+        self.words, self.counts, self.class_tokens, self.class_words = words, counts, class_tokens, class_words
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint16, count=len(words))
+    def __len__(self) -> int:
+        return len(self.words)
 
     @functools.cached_property
     def class_sizes(self) -> np.ndarray:
@@ -127,20 +135,38 @@ class Lexicon(dict):
         every = np.concatenate((np.maximum(np.array(self.counts, dtype=np.float64), ALPHA), self.class_sizes))
         return every / every.sum()
 
+    def numbers(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each text its numbers, as 16-bit in a binary with the end's last, and its words of classes by line (null: none)."""
+        words, sizes = words_of(texts)
+        found = pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.binary())), -1).to_numpy(zero_copy_only=False)
+        ids = found.astype(np.uint16)
+        outside = found < 0
+        rest = words.filter(pa.array(outside))
+        ids[outside] = len(self) + suffix_classes(rest)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes + 1)
+        flat = np.zeros(len(ids) + len(sizes), dtype=np.uint16)
+        flat[np.arange(len(ids)) + owner] = ids
+        numbers = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, 2 * ends)), pa.py_buffer(flat)])
+        per = np.bincount(owner[outside], minlength=len(sizes))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int64()), rest.cast(pa.large_binary()))
+        lines = pc.if_else(pa.array(per > 0), pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary())), pa.scalar(None, pa.large_binary()))
+        return numbers.cast(pa.binary()), lines.cast(pa.binary())
+
 
 def lexicon(counts: DataFrame, vocab: int) -> Lexicon:
     """From the stored counts; what the driver gathers is at most vocab words, the end, and SUFFIXES sums."""
     is_end = F.col("word") == F.lit(END)
     top = [(END, sum(r["c"] for r in counts.filter(is_end).collect()))]
     top += [(bytes(r["word"]), r["c"]) for r in counts.filter((F.col("c") >= MIN_COUNT) & ~is_end).orderBy(F.desc("c"), "word").limit(vocab).collect()]
-    suffix = F.crc32(F.expr(f"substring(word, greatest(length(word) - {SUFFIX_BYTES - 1}, 1), {SUFFIX_BYTES})")) % SUFFIXES
+    suffix = F.conv(F.hex(F.expr(f"substring(word, greatest(length(word) - {SUFFIX_BYTES - 1}, 1), {SUFFIX_BYTES})")), 16, 10).cast("long") % SUFFIXES
     sizes, kinds = [0] * SUFFIXES, [0] * SUFFIXES
-    for r in counts.groupBy(suffix.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("u")).collect():
+    for r in counts.filter(~is_end).groupBy(suffix.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("u")).collect():
         sizes[r["k"]], kinds[r["k"]] = r["c"], r["u"]
-    for word, c in top:
-        k = zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
+    for word, c in top[1:]:
+        k = int.from_bytes(word[-SUFFIX_BYTES:], "big") % SUFFIXES
         sizes[k] -= c
-        kinds[k] -= c > 0
+        kinds[k] -= 1
     return Lexicon([w for w, _ in top], [c for _, c in top], sizes, kinds)
 
 
@@ -150,22 +176,25 @@ def encoded(rows: DataFrame, words: Lexicon, blocks: int) -> DataFrame:
     dealt = rows.select(F.pmod(digest, F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64(digest), F.lit(ROUNDS)).cast("int").alias("part"), "doc_id", digest.alias("digest"), "held_out", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(words.counts)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids, rest = [], []
-                for raw in some.column(5):
-                    own = tokens(raw.as_py())
-                    numbers = words.numbers(own)
-                    ids.append(numbers.tobytes())
-                    rest.append(b"\n".join([own[k] for k in np.flatnonzero(numbers >= size).tolist()]))
-                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(ids, pa.binary()), pa.array(rest, pa.binary())], ["block", "part", "doc_id", "digest", "held_out", "ids", "rest"])
+            for at, some in _cuts(batch.column(5), CUT_BYTES // 4):
+                own = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], *words.numbers(some)], ["block", "part", "doc_id", "digest", "held_out", "ids", "rest"])
 
     out = dealt.mapInArrow(run, "block int, part int, doc_id long, digest long, held_out boolean, ids binary, rest binary")
     return bucketed(out, "op4_encoded", "block")
 
 
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+
+
+def flat_numbers(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts, one behind the other, and how many each has."""
+    offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] // 2
+    return np.frombuffer(ids.buffers()[2], dtype=np.uint16)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 # --- model ---
 
 
@@ -189,23 +218,26 @@ class Model:
 
     def guesses(self, before: np.ndarray) -> np.ndarray:
         """The predicted vector behind each row of contexts, with a 1 for the bias."""
-        r, a = self.parts["r"], self.parts["a"]
         out = np.ones((before.shape[1], self.dim + 1), dtype=np.float32)
-        out[:, :-1] = sum(r[before[j]] * a[j] for j in range(CONTEXT))
+        out[:, :-1] = sum(self.weighed[j][before[j]] for j in range(CONTEXT))
         return out
 
+    @functools.cached_property
+    def weighed(self) -> list[np.ndarray]:
+        """The context vectors at each place; for a model that no longer changes."""
+        return [self.parts["r"] * self.parts["a"][j] for j in range(CONTEXT)]
+
 
-def contexts(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The CONTEXT tokens before each token, nearest first, and the tokens; ``start`` stands in front of a text."""
-    w = np.concatenate(texts)
-    first = np.cumsum([0, *map(len, texts)])[:-1]
+def contexts(w: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """The CONTEXT tokens before each token of texts of these sizes, nearest first; ``start`` stands in front of a text."""
+    first = np.cumsum(sizes) - sizes
     before = np.full((CONTEXT, len(w)), start, dtype=w.dtype)
     for j in range(1, CONTEXT + 1):
         before[j - 1, j:] = w[:-j]
         for k in range(j):
             at = first + k
             before[j - 1, at[at < len(w)]] = start
-    return before, w
+    return before
 
 
 def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +265,8 @@ class Trainer:
         self.ladder = np.cumsum(model.shares)
         self.noise = np.log(NOISE * model.shares).astype(np.float32)
 
-    def fit(self, texts: list[np.ndarray]) -> None:
-        before, w = contexts(texts, self.model.start)
+    def fit(self, w: np.ndarray, sizes: np.ndarray) -> None:
+        before = contexts(w, sizes, self.model.start)
         for k in self.rng.permutation(-(-len(w) // BATCH)):
             self.batch(before[:, k * BATCH : (k + 1) * BATCH], w[k * BATCH : (k + 1) * BATCH])
 
@@ -274,6 +306,10 @@ def _packed(x: np.ndarray) -> bytes:
     return x.astype(np.int32 if np.abs(x).max(initial=0) < 1 << 31 else np.int64).tobytes()
 
 
+def _whole(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * n else np.int64)
+
+
 def _added(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """Sums of rows (slice, n, sums) by slice, one row after the other."""
     held: dict[int, list] = {}
@@ -281,7 +317,7 @@ def _added(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.R
         for k, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
             own = held.setdefault(k, [0, np.zeros(sizes[k], dtype=np.int64)])
             own[0] += n
-            own[1] += np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * sizes[k] else np.int64)
+            own[1] += _whole(raw, sizes[k])
     columns = [pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([_packed(x) for _, x in held.values()], pa.binary())]
     yield pa.RecordBatch.from_arrays(columns, ["slice", "n", "sums"])
 
@@ -295,22 +331,22 @@ def train(docs: DataFrame, model: Model, round_no: int) -> Model:
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
         trainer = Trainer(model, (SEED, round_no, table.column("block")[0].as_py()))
-        trainer.fit([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in table.column("ids")])
+        trainer.fit(*flat_numbers(_joined(table.column("ids"))))
         whole = np.rint(trainer.model.flat.astype(np.float64) * GRAIN).astype(np.int64)
         return pa.table([pa.array(range(SLICES), pa.int32()), pa.array([1] * SLICES, pa.int64()), pa.array([_packed(whole[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["slice", "n", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _added(batches, sizes)
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _added(batches, sizes):
+            means = [_whole(raw, sizes[k]) / (GRAIN * n) for k, n, raw in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.float32).tobytes() for x in means], pa.binary())], ["slice", "n", "sums"])
 
     own = docs.filter((F.col("part") == round_no) & ~F.col("held_out")).select("block", "doc_id", "digest", "ids")
-    # summed per task, and then per slice
-    found = own.groupBy("block").applyInArrow(fit, schema).mapInArrow(add, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()
+    found = own.groupBy("block").applyInArrow(fit, schema).repartition(SLICES, "slice").mapInArrow(mean, schema).collect()
     if not found:
         return model
-    flat = model.flat.astype(np.float64)
+    flat = model.flat.copy()
     for r in found:
-        a, b = cuts[r["slice"]], cuts[r["slice"] + 1]
-        flat[a:b] = np.frombuffer(r["sums"], dtype=np.int32 if len(r["sums"]) == 4 * (b - a) else np.int64) / (GRAIN * r["n"])
+        flat[cuts[r["slice"]] : cuts[r["slice"] + 1]] = np.frombuffer(r["sums"], dtype=np.float32)
     return Model(model.shares, model.start, model.dim, flat)
 
 
@@ -395,6 +431,12 @@ class Scorer:
         return out / math.log(10)
 
 
+def _pieces(before: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A very long text's tokens, RUN at a time."""
+    for at in range(0, len(w), RUN):
+        yield before[:, at : at + RUN], w[at : at + RUN]
+
+
 @functools.lru_cache(maxsize=1)
 def _scorer(flat: bytes, shares: bytes, start: int, words: int) -> Scorer:
     return Scorer(Model(np.frombuffer(shares), start, DIM, np.frombuffer(flat, dtype=np.float32)), words)
@@ -404,17 +446,14 @@ def asked_words(docs: DataFrame) -> DataFrame:
     """Rows (block, word): each word of a suffix class once a block."""
 
     def run(table: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for rest in table.column("rest"):
-            found.update(rest.as_py().split(b"\n"))
-        found.discard(b"")
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+        found = pc.unique(pc.split_pattern(_joined(table.column("rest")), b"\n").flatten())
+        return pa.table({"block": pa.array(np.full(len(found), table.column("block")[0].as_py()), pa.int32()), "word": found.cast(pa.binary())})
 
     return docs.select("block", "rest").groupBy("block").applyInArrow(run, "block int, word binary")
 
 
 def trained(docs: DataFrame, words: Lexicon) -> Model:
-    model = Model(words.shares, words[END])
+    model = Model(words.shares, 0)
     for k in range(ROUNDS):
         model = train(docs, model, k)
     return model
@@ -442,47 +481,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
         scorer = _scorer(*key)
-        c_of = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist()))
         table = table.sort_by([("doc_id", "ascending"), ("digest", "ascending")])
         once = np.log10(np.concatenate((np.array(words.counts, dtype=np.float64), np.zeros(SUFFIXES))) + ALPHA)
+        is_known = np.concatenate((np.array(words.counts) > 0, np.zeros(SUFFIXES, dtype=bool))).astype(np.int64)
         of_class = np.log10(words.class_sizes)
-        known_words = np.array([*(c > 0 for c in words.counts), *[False] * SUFFIXES], dtype=np.int64)
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        texts: list[np.ndarray] = []
-        rare: list[int] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal texts, rare, held
-            if not texts:
-                return
-            before, w = contexts(texts, model.start)
-            first = np.cumsum([0, *map(len, texts)])[:-1]
-            one = once[w]
+        ids, rest = _joined(table.column("ids")), _joined(table.column("rest"))
+        # one look-up for the whole block, as its table is made anew each time
+        told, times = known.column("word").combine_chunks(), np.append(known.column("c").to_numpy(), 0).astype(np.float64)
+        rare = pc.split_pattern(rest, b"\n")
+        counts_there = times[pc.fill_null(pc.index_in(rare.flatten(), value_set=told), len(times) - 1).to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False))
+        found: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+        for at, some in _cuts(ids, 2 * RUN):
+            w, sizes = flat_numbers(some)
+            first = np.cumsum(sizes) - sizes
             outside = np.flatnonzero(w >= len(words))
-            counts_there = np.array(rare, dtype=np.float64)
-            one[outside] = np.log10(counts_there + ALPHA)
-            lp = scorer.log10(before, w)
+            c = counts_there[ends[at - 1] if at else 0 : ends[at + len(some) - 1]]
+            one, seen = once[w], is_known[w]
+            one[outside], seen[outside] = np.log10(c + ALPHA), c > 0
+            lp = np.concatenate([scorer.log10(x, y) for x, y in _pieces(contexts(w, sizes, model.start), w)])
             lp[outside] += one[outside] - of_class[w[outside] - len(words)]
-            seen = known_words[w]
-            seen[outside] = counts_there > 0
-            out["n_tokens"] += [len(x) for x in texts]
-            out["n_known"] += np.add.reduceat(seen, first).tolist()
-            out["base_score"] += (np.add.reduceat(one, first) - [len(x) * math.log10(base_size) for x in texts]).tolist()
-            out["score"] += np.add.reduceat(lp, first).tolist()
-            texts, rare, held = [], [], 0
-
-        for ids, rest in zip(table.column("ids"), table.column("rest")):
-            texts.append(np.frombuffer(ids.as_buffer(), dtype=np.uint16))
-            if len(rest.as_buffer()):
-                rare += [c_of.get(x, 0) for x in rest.as_py().split(b"\n")]
-            held += len(texts[-1])
-            if held >= RUN:
-                flush()
-        flush()
-        done = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64())}
-        done |= {"n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n] * table.num_rows, pa.int64())}
-        return pa.table(done | {k: pa.array(out[k], pa.float64()) for k in ("base_score", "score")})
+            found["n_tokens"].append(sizes.astype(np.int64))
+            found["n_known"].append(np.add.reduceat(seen, first))
+            found["base_score"].append(np.add.reduceat(one, first) - sizes * math.log10(base_size))
+            found["score"].append(np.add.reduceat(lp, first))
+        out = {k: np.concatenate(v) for k, v in found.items()}
+        done = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": out["n_tokens"], "n_known": out["n_known"]}
+        return pa.table(done | {"train_tokens": np.full(table.num_rows, n), "base_score": out["base_score"], "score": out["score"]})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     inputs = dealt.select("block", "doc_id", "digest", "held_out", "ids", "rest")
