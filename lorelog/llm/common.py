@@ -82,16 +82,21 @@ def bucketed(rows: DataFrame, name: str, key: str, dealt: bool = False) -> DataF
     rows.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     out = spark.table(table)
     out._bucketed = (table, path)
-    atexit.register(drop_bucketed, out)
+    atexit.register(_at_exit, out)
     return out
 
 
+def _at_exit(df: DataFrame) -> None:
+    try:
+        drop_bucketed(df)
+    except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
+        pass
+
+
 def drop_bucketed(df: DataFrame) -> None:
     """Only for a table that no pending plan reads."""
     spark = df.sparkSession
     table, path = df._bucketed
-    if spark._sc._jsc is None:
-        return  # the session has ended; the folder's owner clears it
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
