@@ -124,7 +124,7 @@ def _green(argb: np.ndarray, sign: int) -> np.ndarray:
 
 
 def _channels(pixels: np.ndarray) -> np.ndarray:
-    return np.stack([(pixels >> np.uint32(s) & np.uint32(255)).astype(np.int32) for s in (24, 16, 8, 0)], axis=-1)
+    return np.stack([(pixels >> np.uint32(s) & np.uint32(255)).astype(np.int16) for s in (24, 16, 8, 0)], axis=-1)
 
 
 def _packed(argb: np.ndarray) -> np.ndarray:
