@@ -53,6 +53,12 @@ def table(commits: DataFrame, who: str = "id", at: str = "at", day: str = "day",
     return people_rows.join(F.broadcast(top), F.col("id") == F.col("__id"), "left").select("id", "commit_count", "first_commit_date", "last_commit_date", F.col("__id").isNotNull().alias("individual"))
 
 
+def resolver_listing(commits: DataFrame, who: str = "id", address: str | None = None) -> DataFrame:
+    """(id, commits, addresses) of all identities, most commits first, then by id."""
+    addresses = F.count_distinct(people.normal_address(F.col(address))) if address else F.lit(1).cast("long")
+    return commits.groupBy(F.col(who).alias("id")).agg(F.count(F.lit(1)).alias("commits"), addresses.alias("addresses")).orderBy(F.desc("commits"), "id")
+
+
 def listing(known: DataFrame) -> DataFrame:
     """The individual rows and one that sums up the others (id null, aggregate true)."""
     one = known.filter("individual").select("id", "first_commit_date", "last_commit_date", "commit_count", F.lit(1).cast("long").alias("identities"), F.lit(False).alias("aggregate"))

@@ -114,6 +114,15 @@ def month_delta(m: DataFrame) -> DataFrame:
     return counts.withColumn("delta", F.col("commits") - F.lag("commits").over(Window.orderBy("year", "month")))  # one row a month
 
 
+def year_delta(m: DataFrame) -> DataFrame:
+    """Per calendar year its commits, active days and people, and the change of each against the year before (null if that has none)."""
+    figures = m.groupBy(F.col("year").cast("long").alias("year")).agg(
+        F.count(F.lit(1)).alias("commits"), F.count_distinct("day").alias("active_days"), F.count_distinct("id").alias("people")
+    )
+    before = figures.select((F.col("year") + 1).alias("year"), *(F.col(c).alias(f"{c}_before") for c in ("commits", "active_days", "people")))
+    return figures.join(before, "year", "left").select("year", "commits", "active_days", "people", *((F.col(c) - F.col(f"{c}_before")).alias(f"{c}_delta") for c in ("commits", "active_days", "people")))
+
+
 def instants(m: DataFrame) -> DataFrame:
     """Per identity: most commits in one local minute, and commits in the first hour of the day."""
     minutes = m.groupBy("id", F.floor(F.col("at") / 60).alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hour") == 0).alias("first_hour"))

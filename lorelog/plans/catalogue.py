@@ -853,3 +853,17 @@ def _(spark, sf_dir):
     events = _edits(spark, sf_dir)
     few = events.groupBy(F.col("editor").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(FEW)
     return worktype.breakdown(events, WINDOW, few)
+
+
+@query("identity_resolver", f"WITH {b.EVENT_COMMITS} SELECT id, count(*) AS commits, 1::BIGINT AS addresses FROM m GROUP BY 1")
+def _(spark, sf_dir):
+    return identities.resolver_listing(b.event_commits(spark, sf_dir))
+
+
+@query(
+    "temporal_year_delta",
+    f"""WITH {b.EVENT_COMMITS}, y AS (SELECT year, count(*) AS commits, count(DISTINCT day) AS active_days, count(DISTINCT id) AS people FROM m GROUP BY 1)
+SELECT y.*, y.commits - p.commits AS commits_delta, y.active_days - p.active_days AS active_days_delta, y.people - p.people AS people_delta FROM y LEFT JOIN y p ON p.year = y.year - 1""",
+)
+def _(spark, sf_dir):
+    return temporal.year_delta(_moments(spark, sf_dir))

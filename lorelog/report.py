@@ -57,6 +57,7 @@ def build(
         metrics["weekday_histogram"] = [r["commits"] for r in _rows(temporal.histogram(m, "weekday", range(7)).orderBy("bucket"))]
         metrics["month_histogram"] = [r["commits"] for r in _rows(temporal.histogram(m, "month", range(1, 13)).orderBy("bucket"))]
         metrics["year_histogram"] = _rows(temporal.year_histogram(m).orderBy("year"))
+        metrics["year_deltas"] = _rows(temporal.year_delta(m).orderBy("year"))
         return envelope(Status(), metrics, "local time in each commit's own offset")
 
     def size_family() -> dict:
