@@ -95,6 +95,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
             texts += batch.num_rows
             for _, some in _cuts(batch.column(0), CUT_BYTES):
                 yield pa.RecordBatch.from_struct_array(pc.value_counts(words_of(some)[0])).rename_columns(["word", "c"])
+                pa.default_memory_pool().release_unused()  # workers live on for the stages after
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
     parts = rows.filter("not held_out").select("raw").mapInArrow(run, "word binary, c long")
@@ -180,6 +181,7 @@ def encoded(rows: DataFrame, words: Lexicon, blocks: int) -> DataFrame:
             for at, some in _cuts(batch.column(5), CUT_BYTES // 4):
                 own = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([*own.columns[:5], *words.numbers(some)], ["block", "part", "doc_id", "digest", "held_out", "ids", "rest"])
+            pa.default_memory_pool().release_unused()
 
     out = dealt.mapInArrow(run, "block int, part int, doc_id long, digest long, held_out boolean, ids binary, rest binary")
     return bucketed(out, "op4_encoded", "block")
@@ -447,6 +449,7 @@ def asked_words(docs: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         found = pc.unique(pc.split_pattern(_joined(table.column("rest")), b"\n").flatten())
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array(np.full(len(found), table.column("block")[0].as_py()), pa.int32()), "word": found.cast(pa.binary())})
 
     return docs.select("block", "rest").groupBy("block").applyInArrow(run, "block int, word binary")
@@ -491,6 +494,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rare = pc.split_pattern(rest, b"\n")
         counts_there = times[pc.fill_null(pc.index_in(rare.flatten(), value_set=told), len(times) - 1).to_numpy(zero_copy_only=False)]
         ends = np.cumsum(pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False))
+        del rare, told, known
+        pa.default_memory_pool().release_unused()
         found: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for at, some in _cuts(ids, 2 * RUN):
             w, sizes = flat_numbers(some)
