@@ -7,6 +7,7 @@ literal array.  All digits count as the same, so numbers in a path don't sway it
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 
@@ -304,7 +305,7 @@ def hash_order(url: str) -> int:
 
 
 def block_probability(host: Column, path: Column, weights: list[float]) -> Column:
-    table = F.lit(weights[:-1])
+    table = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")  # one literal once folded, not one a weight
     z = F.lit(weights[-1])
     for grams, weight in zip(features(host, path), PART_WEIGHTS):
         total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(table, g))
