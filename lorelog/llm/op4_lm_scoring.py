@@ -44,8 +44,8 @@ SUFFIX_BYTES = 3
 DIM = 12
 CONTEXT = 4
 NOISE = 16
-BATCH = 512
-RATE = 0.1
+BATCH = 768
+RATE = 0.11
 ROUNDS = 4
 SEED = 11
 #: Splits of the tree of words down to a branch, and to a leaf.
